@@ -26,14 +26,14 @@ def _least(pairs: DataFrame, total: int) -> DataFrame:
     return hubs.unionByName(rest)
 
 
-def components(scratch: Scratch, links: DataFrame) -> DataFrame:
+def components(scratch: Scratch, links: DataFrame, name: str = "cc") -> DataFrame:
     """``(node, component)`` for every node of ``links`` (a, b); component is its smallest node.
 
-    Links may repeat, in any direction; links of a node with itself and links
+    ``name`` tells apart the rounds' tables of several calls on one scratch folder. Links may repeat, in any direction; links of a node with itself and links
     with null are passed over. Without links the result is empty.
     """
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = scratch.write(edges, "cc0")
+    edges = scratch.write(edges, f"{name}0")
     mark = edges.select(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"))
     seen = tuple(mark.first())
     k = 0
@@ -41,14 +41,14 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: each larger neighbour is linked with the least of the neighbourhood.
         large = _least(both, seen[0]).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).filter("u <> v").distinct()
-        large = scratch.write(large, f"cc{k + 1}a")
+        large = scratch.write(large, f"{name}{k + 1}a")
         # Small star: so are a node and its smaller neighbours.
         small = _least(large, seen[0])
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = scratch.write(small.filter("u <> v").distinct(), f"cc{k + 1}")
+        edges = scratch.write(small.filter("u <> v").distinct(), f"{name}{k + 1}")
         now = tuple(edges.select(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first())
-        scratch.drop(f"cc{k}")
-        scratch.drop(f"cc{k + 1}a")
+        scratch.drop(f"{name}{k}")
+        scratch.drop(f"{name}{k + 1}a")
         k += 1
         if now == seen:
             break

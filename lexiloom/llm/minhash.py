@@ -102,19 +102,13 @@ def _full_sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(list(shingle_sets(batch.column("text"))))], ["doc_id", "shingles"])
 
 
-def confirmed(scratch: Scratch, docs: DataFrame, pairs: DataFrame, name: str, similar: int = SIMILAR) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets are similar; sets are built only for documents in a pair."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b"))).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    texts = texts.dropDuplicates(["doc_id"]).select("doc_id", "text")
-    sets = scratch.write(texts.mapInArrow(_full_sets, "doc_id long, shingles array<long>"), f"{name}-sets")
+def confirmed(scratch: Scratch, sets: DataFrame, pairs: DataFrame, name: str, similar: int = SIMILAR) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose full ``sets`` (doc_id, shingles) are similar."""
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     out = both.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("n"))
-    out = scratch.write(out.filter(F.col("i") * 100 >= (F.col("n") - F.col("i")) * similar).select("a", "b"), name)
-    scratch.drop(f"{name}-sets")
-    return out
+    return scratch.write(out.filter(F.col("i") * 100 >= (F.col("n") - F.col("i")) * similar).select("a", "b"), name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
@@ -139,11 +133,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similar: int = SIMILAR
     members = scratch.write(members, "members")
     pairs = scratch.write(members.filter("node > centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs1")
 
+    # Full sets are built once, for the documents that share a bucket with another text.
+    texts = docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = scratch.write(texts.select("doc_id", "text").mapInArrow(_full_sets, "doc_id long, shingles array<long>"), "sets")
+
     # Rows of one doc_id but different texts are one node: their classes are linked through it.
     twice = named.select("doc_id", *same).distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     alias = named.filter("rep <> doc_id").join(twice.drop("n"), "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    links = scratch.write(confirmed(scratch, docs, pairs, "links1", similar).unionByName(alias), "all1")
-    labels = scratch.write(components(scratch, links), "labels1")
+    links = scratch.write(confirmed(scratch, sets, pairs, "links1", similar).unionByName(alias), "all1")
+    labels = scratch.write(components(scratch, links, "cc1-"), "labels1")
     k = 1
     while True:
         k += 1
@@ -151,12 +149,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similar: int = SIMILAR
         more = scratch.write(more.join(pairs, ["a", "b"], "left_anti"), f"new{k}")
         if more.isEmpty():
             break
-        found = confirmed(scratch, docs, more, f"links{k}", similar)
+        found = confirmed(scratch, sets, more, f"links{k}", similar)
         if found.isEmpty():
             break
         pairs = scratch.write(pairs.unionByName(more), f"pairs{k}")
         links = scratch.write(links.unionByName(found), f"all{k}")
-        labels = scratch.write(components(scratch, links), f"labels{k}")
+        labels = scratch.write(components(scratch, links, f"cc{k}-"), f"labels{k}")
 
     of_class = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*same, "n", F.coalesce("component", "rep").alias("of_class"))
     out = left_join_grouped(sketch.select("doc_id", *same), of_class, same, "n", rows)
