@@ -156,12 +156,13 @@ def _join(shared):
                 by = np.argsort(text, kind="stable")
                 text, begin, window = text[by], begin[by], window[by]
                 end = begin + block.lengths[window]
-                hit = dict(zip(*(x.tolist() for x in np.unique(text, return_index=True)), strict=True)) if len(text) else {}
-                stops = dict(zip(hit, [*list(hit.values())[1:], len(text)], strict=True))
+                hit, cut = np.unique(text, return_index=True)
+                cut = [*cut.tolist(), len(text)]
+                place = {t: k for k, t in enumerate(hit.tolist())}
                 for t, n in enumerate(np.diff(first).tolist()):
                     sizes.append(n)
-                    if t in hit:
-                        lo, hi = hit[t], stops[t]
+                    if t in place:
+                        lo, hi = cut[place[t]], cut[place[t] + 1]
                         spans.append(_merge(begin[lo:hi] - first[t], end[lo:hi] - first[t]))
                         items.append(sorted({x for w in np.unique(window[lo:hi]) for x in block.owners[w]}))
                     else:
