@@ -16,6 +16,11 @@ STEP = 0x6D2B79F5
 MASK = 0xFFFFFFFF
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)``, with the value computed once however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _times(a: Column, b: Column) -> Column:
     """a * b modulo 2^32, for columns below 2^32."""
     high = F.shiftrightunsigned(b, 16)
@@ -23,16 +28,22 @@ def _times(a: Column, b: Column) -> Column:
     return (a * low + (a * high).bitwiseAND(F.lit(0xFFFF)) * F.lit(65536)).bitwiseAND(F.lit(MASK))
 
 
+def _scrambled(state: Column) -> Column:
+    return _let(state.bitwiseXOR(F.shiftrightunsigned(state, 15)), lambda a: _times(a, state.bitwiseOR(F.lit(1))))
+
+
+def _spread(t: Column) -> Column:
+    more = _let(t.bitwiseXOR(F.shiftrightunsigned(t, 7)), lambda a: _times(a, t.bitwiseOR(F.lit(61))))
+    return _let(t.bitwiseXOR((t + more).bitwiseAND(F.lit(MASK))), lambda x: x.bitwiseXOR(F.shiftrightunsigned(x, 14)).bitwiseAND(F.lit(MASK)))
+
+
 def draw(seed: Column | int, k: Column) -> Column:
     """The k-th (from 0) number in [0, 1) of ``seed``."""
     seed = F.lit(seed) if isinstance(seed, int) else seed
     # k is reduced first so that the product stays in range however far the counter goes.
     turn = F.pmod((k + 1).cast("long"), F.lit(1 << 32))
-    state = (_times(F.lit(STEP).cast("long"), turn) + seed.cast("long").bitwiseAND(F.lit(MASK))).bitwiseAND(F.lit(MASK))
-    t = _times(state.bitwiseXOR(F.shiftrightunsigned(state, 15)), state.bitwiseOR(F.lit(1)))
-    more = _times(t.bitwiseXOR(F.shiftrightunsigned(t, 7)), t.bitwiseOR(F.lit(61)))
-    t = t.bitwiseXOR((t + more).bitwiseAND(F.lit(MASK)))
-    return (t.bitwiseXOR(F.shiftrightunsigned(t, 14)).bitwiseAND(F.lit(MASK))) / F.lit(4294967296.0)
+    state = _let(turn, lambda n: (_times(F.lit(STEP).cast("long"), n) + seed.cast("long").bitwiseAND(F.lit(MASK))).bitwiseAND(F.lit(MASK)))
+    return _let(_let(state, _scrambled), _spread) / F.lit(4294967296.0)
 
 
 def draws(seed: int, start: int, n: int) -> np.ndarray:

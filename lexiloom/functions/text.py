@@ -43,8 +43,8 @@ def strip_vowels(word: Column, keep_initial: bool = False) -> Column:
 
 
 def _folds() -> tuple[str, str]:
-    """Letters of Latin-1 and Latin Extended-A whose decomposition is an ASCII letter with marks, and that letter."""
-    found = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x180) if len(unicodedata.normalize("NFD", chr(c))) > 1]
+    """Precomposed Latin letters whose decomposition is an ASCII letter with marks, and that letter."""
+    found = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(unicodedata.normalize("NFD", chr(c))) > 1]
     found = [(a, b) for a, b in found if b.isascii()]
     return "".join(a for a, _ in found), "".join(b for _, b in found)
 
