@@ -34,11 +34,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group; of rows with one doc_id, one."""
-    found = minhash.near_duplicates(spark, docs)
+    found = Scratch(spark, "groups").write(minhash.near_duplicates(spark, docs), "found")
     left = _without(docs, found.filter(~F.col("kept")))
-    alone = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    again = left.join(alone.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _without(left, alone).unionByName(again.select(*docs.columns))
+    twice = found.filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if twice.isEmpty():
+        return left
+    again = left.join(twice.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return _without(left, twice).unionByName(again.select(*docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -237,13 +237,13 @@ def cap_links(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE) -
     """vec_id, n_links, component_id and kept for each row of ``vectors`` (vec_id, embedding)."""
     scratch = Scratch(spark, "caps")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    marked = rows.mapInArrow(_fingerprints, f"vec_id long, embedding {rows.schema['embedding'].dataType.simpleString()}, h1 long, h2 long, ok boolean")
+    marked = rows.mapInArrow(tk.lean(_fingerprints), f"vec_id long, embedding {rows.schema['embedding'].dataType.simpleString()}, h1 long, h2 long, ok boolean")
     marked = scratch.write(marked.withColumn("ok", F.col("ok") & F.col("vec_id").isNotNull()), "marked")
     live = marked.filter("ok")
     classes = live.groupBy("h1", "h2").agg(F.min_by("embedding", "vec_id").alias("embedding"), F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     classes = scratch.write(classes, "classes")
     n = classes.count()
-    passes = classes.select("embedding", "rep", "n").mapInArrow(_passes(n), "dim int, filter long, rep long, mult long, unit binary, lists binary")
+    passes = classes.select("embedding", "rep", "n").mapInArrow(tk.lean(_passes(n)), "dim int, filter long, rep long, mult long, unit binary, lists binary")
     passes = scratch.write(passes, "passes")
     full = passes.groupBy("dim", "filter").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("g", F.ceil(F.col("n") / CHUNK).cast("int"))
     total = passes.count()
@@ -251,7 +251,7 @@ def cap_links(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE) -
     met = met.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     met = met.withColumn("i", F.least("part", "k")).withColumn("j", F.greatest("part", "k")).drop("k", "g")
     block = ["dim", "filter", "i", "j"]
-    found = met.repartition(*block).sortWithinPartitions(*block).mapInArrow(_meet(cosine), "rep long, links long, least long")
+    found = met.repartition(*block).sortWithinPartitions(*block).mapInArrow(tk.lean(_meet(cosine)), "rep long, links long, least long")
     found = scratch.write(found, "found")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     labels = scratch.write(components(scratch, found.filter("least <> rep").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct()), "labels")

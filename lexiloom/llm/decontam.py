@@ -205,23 +205,23 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, si
     for k, block in enumerate(_blocks(benchmark, size, block_words)):
         shared = spark.sparkContext.broadcast(block.vocabulary)
         held = np.zeros(len(block.vocabulary), np.int64)
-        counts = texts.select("text").mapInArrow(_held(shared), "token long, held long").groupBy("token").agg(F.sum("held").alias("held"))
+        counts = texts.select("text").mapInArrow(tk.lean(_held(shared)), "token long, held long").groupBy("token").agg(F.sum("held").alias("held"))
         for r in counts.collect():  # a row at most for each word of the block
             held[r["token"]] = r["held"]
         block.order(held)
         joined = spark.sparkContext.broadcast(block)
         if k == 0:
-            out = texts.mapInArrow(_join(joined), f"doc_id {kind}, {schema}")
+            out = texts.mapInArrow(tk.lean(_join(joined)), f"doc_id {kind}, {schema}")
             first = (keyed, joined)
         else:
             if k == 1:
-                several.append(scratch.write(first[0].mapInArrow(_join(first[1]), f"doc_id {kind}, _key string, {schema}").filter("size(items) > 0"), "block0"))
-            several.append(scratch.write(keyed.mapInArrow(_join(joined), f"doc_id {kind}, _key string, {schema}").filter("size(items) > 0"), f"block{k}"))
+                several.append(scratch.write(first[0].mapInArrow(tk.lean(_join(first[1])), f"doc_id {kind}, _key string, {schema}").filter("size(items) > 0"), "block0"))
+            several.append(scratch.write(keyed.mapInArrow(tk.lean(_join(joined)), f"doc_id {kind}, _key string, {schema}").filter("size(items) > 0"), f"block{k}"))
             joined.unpersist()
     if out is None:
         empty = Block([], size)
         empty.order(np.zeros(0, np.int64))
-        out = texts.mapInArrow(_join(spark.sparkContext.broadcast(empty)), f"doc_id {kind}, {schema}")
+        out = texts.mapInArrow(tk.lean(_join(spark.sparkContext.broadcast(empty))), f"doc_id {kind}, {schema}")
     if several:
         # A text's result is the same wherever it stands, so that repeated rows join as one.
         hits = several[0]
@@ -229,7 +229,7 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, si
             hits = hits.unionByName(more)
         hits = hits.select("_key", "spans", "items").distinct().groupBy("_key").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         none = F.array().cast("array<struct<s:bigint,e:bigint>>")
-        sized = first[0].mapInArrow(_join(first[1]), f"doc_id {kind}, _key string, {schema}").drop("spans", "items").join(hits, "_key", "left")
+        sized = first[0].mapInArrow(tk.lean(_join(first[1])), f"doc_id {kind}, _key string, {schema}").drop("spans", "items").join(hits, "_key", "left")
         out = sized.select("doc_id", "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return out.withColumn("n_hit", _covered(F.col("spans")))
 

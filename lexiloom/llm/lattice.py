@@ -226,7 +226,7 @@ def _gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 def _texts(batch):
     data, bounds = tk.text_bytes(batch.column("text"))
-    for a, b in tk.text_slices(bounds, 16 * tk.PIECE):
+    for a, b in tk.text_slices(bounds, 4 * tk.PIECE):
         part = data[bounds[a] : bounds[b]]
         yield a, b, part, *tk.hash_words(part, bounds[a : b + 1] - bounds[a], tk.SPACES)
 
@@ -330,7 +330,7 @@ def _scores(shared):
 
 def count_words(scratch: Scratch, docs: DataFrame) -> DataFrame:
     """h, word and n of all distinct words of ``docs``."""
-    counted = docs.select("text").mapInArrow(_count, "h long, word binary, n long")
+    counted = docs.select("text").mapInArrow(tk.lean(_count), "h long, word binary, n long")
     return scratch.write(counted.groupBy("h", "word").agg(F.sum("n").alias("n")), "words")
 
 
@@ -343,7 +343,7 @@ def fit_pieces(spark: SparkSession, words: DataFrame, ends: int, path: str = VOC
     logs = np.log(weight / weight.sum()) + np.log1p(-0.01)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(logs)
-        got = words.select("word", "n").mapInArrow(_expect(path, shared), "piece long, expected double").groupBy("piece").agg(F.sum("expected").alias("expected"))
+        got = words.select("word", "n").mapInArrow(tk.lean(_expect(path, shared)), "piece long, expected double").groupBy("piece").agg(F.sum("expected").alias("expected"))
         count = np.full(size, FLOOR)
         for r in got.collect():  # a row a piece at most
             count[r["piece"]] += r["expected"]
@@ -370,7 +370,7 @@ def fit(spark: SparkSession, scratch: Scratch, train: DataFrame, path: str = VOC
         least = c
     least = int(total["n"]) // head + 1 if least is None else least
     shared = spark.sparkContext.broadcast(logs)
-    rows = words.filter(F.col("n") >= least).mapInArrow(_log_words(path, shared), "h long, n long, lp double").toArrow()
+    rows = words.filter(F.col("n") >= least).mapInArrow(tk.lean(_log_words(path, shared)), "h long, n long, lp double").toArrow()
     h = np.asarray(rows.column("h")).astype(np.int64).view(np.uint64)
     by = np.argsort(h)
     column = lambda c: np.asarray(rows.column(c))[by]
@@ -385,7 +385,7 @@ def score(spark: SparkSession, docs: DataFrame, parts: int = HELD_OUT, **how) ->
     docs = docs.select("doc_id", "text")
     model, words = fit(spark, scratch, docs.filter(~held_out(F.col("doc_id"), parts)), **how)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.mapInArrow(_scores(spark.sparkContext.broadcast(model)), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, tail array<struct<h:long,k:long>>")
+    out = docs.mapInArrow(tk.lean(_scores(spark.sparkContext.broadcast(model))), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, tail array<struct<h:long,k:long>>")
     if not model.whole:
         out = scratch.write(out.withColumn("row", F.monotonically_increasing_id()), "scored")
         tail = out.select("row", F.inline("tail")).join(words.groupBy("h").agg(F.sum("n").alias("n")), "h", "left")

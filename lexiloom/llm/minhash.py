@@ -115,7 +115,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similar: int = SIMILAR
     """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text)."""
     scratch = Scratch(spark, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = scratch.write(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "sketch")
+    sketch = scratch.write(docs.mapInArrow(tk.lean(_sketch), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "sketch")
     same = ["n_shingles", "s1", "s2"]
     rows = sketch.count()
     live = sketch.filter("n_shingles > 0")
@@ -135,7 +135,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similar: int = SIMILAR
 
     # Full sets are built once, for the documents that share a bucket with another text.
     texts = docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = scratch.write(texts.select("doc_id", "text").mapInArrow(_full_sets, "doc_id long, shingles array<long>"), "sets")
+    sets = scratch.write(texts.select("doc_id", "text").mapInArrow(tk.lean(_full_sets), "doc_id long, shingles array<long>"), "sets")
 
     # Rows of one doc_id but different texts are one node: their classes are linked through it.
     twice = named.select("doc_id", *same).distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

@@ -187,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     some = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # ``sample`` ids at most
     kind = docs.schema["doc_id"].dataType.simpleString()
-    fitted = rows.mapInArrow(_features, f"doc_id {kind}, label int, x array<float>").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    fitted = rows.mapInArrow(tk.lean(_features), f"doc_id {kind}, label int, x array<float>").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
     x = np.asarray(fitted.column("x").combine_chunks().flatten(), np.float32).reshape(-1, len(FEATURES))
     return fit(x, np.asarray(fitted.column("label"), np.float64))
 
@@ -195,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
 def score(spark: SparkSession, docs: DataFrame, model: Trees) -> DataFrame:
     """doc_id and score for each row of ``docs``; the model has a fixed size."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_scorer(spark.sparkContext.broadcast(model)), f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(tk.lean(_scorer(spark.sparkContext.broadcast(model))), f"doc_id {kind}, score double")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ bytes, cut between words, so that memory does not grow with a text, however long
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -140,10 +142,30 @@ def chain(words: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
     return mix(total)
 
 
-def text_slices(bounds: np.ndarray, limit: int = 8 * PIECE) -> Iterator[tuple[int, int]]:
+def text_slices(bounds: np.ndarray, limit: int = 2 * PIECE) -> Iterator[tuple[int, int]]:
     """Runs of whole texts of about ``limit`` bytes; at least one text each."""
     lo, n = 0, len(bounds) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + limit, "right")) - 1)
         yield lo, min(hi, n)
         lo = min(hi, n)
+
+
+def lean(run):
+    """``run`` over Arrow batches, after which the worker gives back what memory it holds.
+
+    Workers are kept for later tasks; without this, each would hold the most it ever
+    needed while the JVM beside it does other work.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped

@@ -163,7 +163,7 @@ def _writer(folder: str, most: int):
 
 def write_archives(scratch: Scratch, rows: DataFrame, most: int = ARCHIVE_BYTES) -> DataFrame:
     """Write ``rows`` (id, url, payload) as monolithic gzip archives; the index of what they hold."""
-    return scratch.write(rows.select("id", "url", "payload").mapInArrow(_writer(scratch.folder("raw"), most), _INDEX), "raw-index")
+    return scratch.write(rows.select("id", "url", "payload").mapInArrow(tk.lean(_writer(scratch.folder("raw"), most)), _INDEX), "raw-index")
 
 
 def revisits(index: DataFrame, least: int = LEAST) -> DataFrame:
@@ -246,10 +246,10 @@ def archive_and_read(spark: SparkSession, rows: DataFrame, least: int = LEAST, m
     turns = revisits(index, least).groupBy("archive").agg(F.collect_list(F.struct("seq", "refers")).alias("turn"))
     archives = index.groupBy("archive").agg(F.sum("bytes").alias("size")).join(turns, "archive", "left")
     tasks = max(1, index.select("archive").distinct().count())
-    done = archives.select("archive", "turn").repartition(tasks, "archive").mapInArrow(_normaliser(scratch.folder("records")), "archive string, records long, bytes long")
+    done = archives.select("archive", "turn").repartition(tasks, "archive").mapInArrow(tk.lean(_normaliser(scratch.folder("records"))), "archive string, records long, bytes long")
     done = scratch.write(done, "manifest")
     scratch.drop("raw")
-    return done.select("archive").repartition(tasks, "archive").mapInArrow(_reader, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return done.select("archive").repartition(tasks, "archive").mapInArrow(tk.lean(_reader), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
