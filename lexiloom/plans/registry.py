@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexiloom.plans import relation_queries, stat_queries, structure_queries
+from lexiloom.plans import model_queries, relation_queries, stat_queries, structure_queries
 
-_MODULES = (stat_queries, relation_queries, structure_queries)
+_MODULES = (stat_queries, relation_queries, structure_queries, model_queries)
 
 
 def queries() -> dict:

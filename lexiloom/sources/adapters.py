@@ -24,7 +24,7 @@ def words_of(text: Column) -> Column:
 def document_lines(spark: SparkSession, sf_dir: str, corpus: str = "lang") -> DataFrame:
     """corpus (a column of ``documents``), page, section, language, line_no, par_start and words of every line."""
     docs = table(spark, sf_dir, "documents").select(
-        F.coalesce(F.col(corpus), F.lit("?")).alias("corpus"), F.col("doc_id").alias("page"), F.coalesce("source", F.lit("?")).alias("section"),
+        F.coalesce(F.col(corpus).cast("string"), F.lit("?")).alias("corpus"), F.col("doc_id").alias("page"), F.coalesce("source", F.lit("?")).alias("section"),
         F.coalesce("lang", F.lit("?")).alias("language"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"),
     )
     return docs.select("corpus", "page", "section", "language", "line_no", (F.col("line_no") % 4 == 0).alias("par_start"), words_of(F.col("line")).alias("words"))
