@@ -121,10 +121,12 @@ def mix(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
             "_null": F.col("source").isNull(), "_src": F.coalesce(F.col("source"), F.lit("")), "_size": size,
         })
 
+    # Rows and copies of a key; the join leaves rows where the window wants them, so that texts move once.
+    whole = keyed(taken(spark, docs, **how), F.col("size")).groupBy(*same).agg(F.count(F.lit(1)).alias("_rows"), F.sum("copies").alias("_all")).filter("_all > 0")
+    rows = keyed(docs, words_of(F.col("text"))).join(whole, same)
     nth = F.row_number().over(Window.partitionBy(*same).orderBy("_size"))
-    copies = keyed(taken(spark, docs, **how), F.col("size")).withColumn("_nth", nth).select(*same, "_nth", F.col("copies").alias("_copies"))
-    rows = keyed(docs, words_of(F.col("text"))).withColumn("_nth", nth)
-    rows = rows.join(copies.filter("_copies > 0"), [*same, "_nth"])
+    copies = F.floor(F.col("_all") / F.col("_rows")) + (nth <= F.col("_all") % F.col("_rows")).cast("long")
+    rows = rows.withColumn("_copies", copies).filter("_copies > 0")
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
 
