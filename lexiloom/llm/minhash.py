@@ -173,8 +173,10 @@ def _further_pairs(members: DataFrame, labels: DataFrame, rows: int, turn: int)
     # A first centre from each component's side: the least hashes, by partial aggregates.
     picks = labelled.groupBy(*bucket).agg(*[F.min(F.when(F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(CENTRES)) == i, by_hash)).alias(f"p{i}") for i in range(CENTRES)], F.count(F.lit(1)).alias("n"))
     picks = picks.select(*bucket, "n", F.array_compact(F.array(*[f"p{i}" for i in range(CENTRES)])).alias("picks"))
-    joined = left_join_grouped(labelled, picks, bucket, "n", BANDS * rows).withColumn("p", F.explode("picks"))
-    return joined.filter("p.of <> component").select(F.least("node", "p.c").alias("a"), F.greatest("node", "p.c").alias("b")).distinct()
+    joined = left_join_grouped(labelled, picks, bucket, "n", BANDS * rows)
+    # A member meets centres of other components alone.
+    joined = joined.withColumn("p", F.explode(F.filter("picks", lambda p: p["of"] != F.col("component"))))
+    return joined.select(F.least("node", "p.c").alias("a"), F.greatest("node", "p.c").alias("b")).distinct()
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
