@@ -46,6 +46,8 @@ from lexiloom.llm.spread import left_join_grouped
 COSINE = 0.95
 CROWD, LISTS, LEAST = 8, 16, 10
 CHUNK = 2048
+#: Filters fuller than that are broadcast up to this many, and joined by a shuffle beyond.
+FULL = 100_000
 WORDS = 64
 _SEED = 60_493
 
@@ -130,10 +132,17 @@ def _fingerprints(batches):
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names], *sums, pa.array(ok)], [*batch.schema.names, "h1", "h2", "ok"])
 
 
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows at length one, in double precision; scaled first, so that no square leaves the range."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _passes(n: int):
     def run(batches):
         for batch in batches:
             flat, offsets, _ = _matrix(batch.column("embedding"))
+            sent = np.float32 if pa.types.is_float32(batch.column("embedding").type.value_type) else np.float64
             reps, mult = np.asarray(batch.column("rep")), np.asarray(batch.column("n"))
             dims = np.diff(offsets)
             for dim in np.unique(dims):
@@ -141,18 +150,15 @@ def _passes(n: int):
                 for lo in range(0, len(at), 1024):
                     part = at[lo : lo + 1024]
                     x = flat[offsets[part][:, None] + np.arange(dim)]
-                    scale = np.abs(x).max(axis=1, keepdims=True)
-                    x = x / scale
-                    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                    rows, filters = _code(int(dim), n).decode(unit)
+                    rows, filters = _code(int(dim), n).decode(_units(x))
                     ends = np.cumsum(np.bincount(rows, minlength=len(part)))
                     lists = np.split(filters, ends[:-1])
-                    own = pa.array([unit[k].tobytes() for k in range(len(part))], pa.binary())
+                    own = pa.array([v.tobytes() for v in x.astype(sent)], pa.binary())
                     known = pa.array([f.astype(np.int64).tobytes() for f in lists], pa.binary())
                     take = pa.array(rows)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(rows), dim, np.int32)), pa.array(filters.astype(np.int64)), pa.array(reps[part][rows]), pa.array(mult[part][rows]), own.take(take), known.take(take)],
-                        ["dim", "filter", "rep", "mult", "unit", "lists"],
+                        ["dim", "filter", "rep", "mult", "vector", "lists"],
                     )
 
     return run
@@ -169,11 +175,11 @@ def _local(link: np.ndarray) -> np.ndarray:
         least = new
 
 
-def _block(rows, cosine: float):
+def _block(rows, dim: int, cosine: float):
     """Weighted links of each member of one block that count here, and its link with a smaller member."""
     rep, order = np.unique(np.array([r[0] for r in rows]), return_index=True)
     rows = [rows[k] for k in order]
-    x = np.stack([np.frombuffer(r[2], dtype=np.float64) for r in rows])
+    x = _units(np.stack([np.frombuffer(r[2], dtype=np.float32 if len(r[2]) == 4 * dim else np.float64) for r in rows]).astype(np.float64))
     link = x @ x.T >= cosine
     here, split, part = rows[0][4], rows[0][5], np.array([r[6] for r in rows])
     if split:
@@ -207,7 +213,7 @@ def _meet(cosine: float):
 
         def flush():
             if len(held) > 1:
-                a, b, c, d = _block(held, cosine)
+                a, b, c, d = _block(held, key[0], cosine)
                 for to, x in ((reps, a), (sums, b), (nodes, c), (least, d)):
                     to.extend(x)
 
@@ -218,12 +224,12 @@ def _meet(cosine: float):
             return batch
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("dim", "filter", "i", "j", "rep", "mult", "unit", "lists", "part")]
-            for dim, f, i, j, rep, mult, unit, lists, part in zip(*cols, strict=True):
+            cols = [batch.column(c).to_pylist() for c in ("dim", "filter", "i", "j", "rep", "mult", "vector", "lists", "part")]
+            for dim, f, i, j, rep, mult, vector, lists, part in zip(*cols, strict=True):
                 if (dim, f, i, j) != key:
                     flush()
                     held, key = [], (dim, f, i, j)
-                held.append((rep, mult, unit, lists, f, i != j, part))
+                held.append((rep, mult, vector, lists, f, i != j, part))
             if reps:
                 yield out()
         flush()
@@ -243,11 +249,12 @@ def cap_links(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE) -
     classes = live.groupBy("h1", "h2").agg(F.min_by("embedding", "vec_id").alias("embedding"), F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     classes = scratch.write(classes, "classes")
     n = classes.count()
-    passes = classes.select("embedding", "rep", "n").mapInArrow(tk.lean(_passes(n)), "dim int, filter long, rep long, mult long, unit binary, lists binary")
+    passes = classes.select("embedding", "rep", "n").mapInArrow(tk.lean(_passes(n)), "dim int, filter long, rep long, mult long, vector binary, lists binary")
     passes = scratch.write(passes, "passes")
-    full = passes.groupBy("dim", "filter").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("g", F.ceil(F.col("n") / CHUNK).cast("int"))
-    total = passes.count()
-    met = left_join_grouped(passes, full, ["dim", "filter"], "n", total).filter("g IS NOT NULL")
+    # Only filters that are too full for one block need to be known beforehand; vectors move once.
+    full = passes.groupBy("dim", "filter").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CHUNK)
+    full = scratch.write(full.select("dim", "filter", F.ceil(F.col("n") / CHUNK).cast("int").alias("g")), "full")
+    met = passes.join(F.broadcast(full) if full.count() <= FULL else full, ["dim", "filter"], "left").withColumn("g", F.coalesce("g", F.lit(1)))
     met = met.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     met = met.withColumn("i", F.least("part", "k")).withColumn("j", F.greatest("part", "k")).drop("k", "g")
     block = ["dim", "filter", "i", "j"]
