@@ -12,10 +12,13 @@ smallest doc_id, so that a bucket of n gives n - 1 pairs. Pairs are confirmed on
 the full sets, and confirmed links make components. Later rounds go to buckets
 that still hold several components: there, up to CENTRES other members in a
 hashed order that differs by bucket and round are centres for the members of
-other components. Pairs tried before are left out. Rounds go on until one finds
-nothing new. A link within a component changes nothing, so none such is looked
-for. At a similarity of 0.85 two sets share no bucket with a probability below
-1e-6, and less above.
+other components. Pairs tried before are left out. After ROUNDS at most, or one
+that finds nothing new, what they leave is settled exactly: the members of buckets that
+still hold several components are joined by the prefixes of their full sets,
+rarest shingles first, which no pair of similar sets can miss, and each candidate
+of two components is confirmed. A link within a component changes nothing, so
+none such is looked for. At a similarity of 0.85 two sets share no bucket with a
+probability below 1e-6, at 0.80 below 1e-4, and less above.
 
 Shingles are 64-bit hashes; the whole set of a text has a fingerprint of 128 bits.
 
@@ -42,7 +45,7 @@ WORDS = 5
 BANDS, ROWS = 32, 6
 BINS = BANDS * ROWS
 SIMILAR = 85
-CENTRES = 4
+CENTRES, ROUNDS = 4, 3
 _SEED = 20_177
 
 _edges = np.array([-(-(i << 64) // BINS) for i in range(BINS)], dtype=np.uint64)
@@ -142,19 +145,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similar: int = SIMILAR
     alias = named.filter("rep <> doc_id").join(twice.drop("n"), "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     links = scratch.write(confirmed(scratch, sets, pairs, "links1", similar).unionByName(alias), "all1")
     labels = scratch.write(components(scratch, links, "cc1-"), "labels1")
-    k = 1
-    while True:
-        k += 1
+    for k in range(2, ROUNDS + 1):
         more = _further_pairs(members, labels, rows, k)
         more = scratch.write(more.join(pairs, ["a", "b"], "left_anti"), f"new{k}")
         if more.isEmpty():
             break
         found = confirmed(scratch, sets, more, f"links{k}", similar)
+        pairs = scratch.write(pairs.unionByName(more), f"pairs{k}")
         if found.isEmpty():
             break
-        pairs = scratch.write(pairs.unionByName(more), f"pairs{k}")
         links = scratch.write(links.unionByName(found), f"all{k}")
         labels = scratch.write(components(scratch, links, f"cc{k}-"), f"labels{k}")
+    # The rounds are quick, not whole: the rest of the pairs of two components by an exact join.
+    rest = scratch.write(_rest_pairs(scratch, members, labels, sets, rows, similar).join(pairs, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty() and not (found := confirmed(scratch, sets, rest, "links-rest", similar)).isEmpty():
+        labels = scratch.write(components(scratch, links.unionByName(found), "cc-rest-"), "labels-rest")
 
     of_class = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*same, "n", F.coalesce("component", "rep").alias("of_class"))
     out = left_join_grouped(sketch.select("doc_id", *same), of_class, same, "n", rows)
@@ -163,14 +168,51 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similar: int = SIMILAR
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _further_pairs(members: DataFrame, labels: DataFrame, rows: int, turn: int) -> DataFrame:
-    """Pairs of up to CENTRES members with members of other components, in buckets that hold several components."""
+def _several(members: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """The members, with their components, of buckets that hold several components."""
     bucket = ["band", "key"]
     labelled = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).select(*bucket, "node", "component")
     several = labelled.groupBy(*bucket).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
-    labelled = left_join_grouped(labelled, several, bucket, "n", BANDS * rows).filter("lo IS NOT NULL").drop("lo", "hi")
+    return left_join_grouped(labelled, several, bucket, "n", BANDS * rows).filter("lo IS NOT NULL").drop("lo", "hi")
+
+
+def _rest_pairs(scratch: Scratch, members: DataFrame, labels: DataFrame, sets: DataFrame, rows: int, similar: int) -> DataFrame:
+    """All pairs of two components that can be similar, among the members of buckets that hold several.
+
+    Shingles stand in the order of how many sets hold them. Similar sets of n <= m
+    shingles have at least similar / (100 + similar) * (n + m) in common, so that
+    the first of these is among the first few of both: of the smaller set fewer
+    than of the larger. Shingles of one set alone only take places.
+    """
+    nodes = scratch.write(_several(members, labels, rows).select("node", "component").distinct(), "several")
+    own = sets.withColumnRenamed("doc_id", "node").join(nodes, "node").select("node", "component", F.size("shingles").cast("long").alias("size"), "shingles")
+    own = scratch.write(own, "own")
+    words = own.select("node", "component", "size", F.explode("shingles").alias("w"))
+    held = scratch.write(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("df", F.col("n")), "held")
+    total = own.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    shared = left_join_grouped(words, held, ["w"], "n", total).filter("df IS NOT NULL")
+    order = shared.groupBy("node", "component", "size").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("order"))
+    order = order.withColumn("alone", F.col("size") - F.size("order"))
+    most = F.expr(f"size - (size * {similar} + 99) div 100 + 1 - alone").cast("int")
+    few = F.expr(f"size - (2 * size * {similar} + {99 + similar}) div {100 + similar} + 1 - alone").cast("int")
+    order = order.withColumn("most", most).withColumn("few", few).filter("most > 0")
+    order = scratch.write(order.withColumn("order", F.slice(F.col("order.w"), 1, F.col("most"))), "order")
+
+    def side(c: str, length: str) -> DataFrame:
+        first = order.filter(F.col(length) > 0).select(F.col("node").alias(c), F.col("component").alias(f"c{c}"), F.col("size").alias(f"n{c}"), "alone", F.posexplode(F.slice("order", 1, F.col(length))).alias("at", "w"))
+        return first.select(c, f"c{c}", f"n{c}", (F.col(f"n{c}") - F.col("alone") - F.col("at")).alias(f"left{c}"), "w")
+
+    met = side("a", "few").join(side("b", "most"), "w").filter("ca <> cb AND (na < nb OR na = nb AND a < b)")
+    met = met.filter(f"100 * na >= {similar} * nb AND {100 + similar} * least(lefta, leftb) >= {similar} * (na + nb)")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _further_pairs(members: DataFrame, labels: DataFrame, rows: int, turn: int) -> DataFrame:
+    """Pairs of up to CENTRES members with members of other components, in buckets that hold several components."""
+    bucket = ["band", "key"]
+    labelled = _several(members, labels, rows)
     by_hash = F.struct(F.xxhash64(F.lit(turn), "band", "key", "node").alias("h"), F.col("node").alias("c"), F.col("component").alias("of"))
-    # A first centre from each component's side: the least hashes, by partial aggregates.
+    # The least hash of each of CENTRES parts of the members, by partial aggregates.
     picks = labelled.groupBy(*bucket).agg(*[F.min(F.when(F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(CENTRES)) == i, by_hash)).alias(f"p{i}") for i in range(CENTRES)], F.count(F.lit(1)).alias("n"))
     picks = picks.select(*bucket, "n", F.array_compact(F.array(*[f"p{i}" for i in range(CENTRES)])).alias("picks"))
     joined = left_join_grouped(labelled, picks, bucket, "n", BANDS * rows)

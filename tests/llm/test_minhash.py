@@ -57,6 +57,18 @@ def test_components_match_brute_force(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out) and len(out) == len(rows)
 
 
+def test_pairs_in_a_crowd_of_one_template(spark):
+    """All share 210 of 230 shingles (0.84); each odd one of the last 24 has two more in common with the one before it (0.8548)."""
+    template, rows = [f"t{i}" for i in range(214)], []
+    for k in range(1024):
+        tail = [f"{k}x{i}" for i in range(20)]
+        if k >= 1000 and k % 2:
+            tail[:2] = [f"{k - 1}x0", f"{k - 1}x1"]
+        rows.append((k, " ".join(template + tail), 1, 1))
+    out = minhash.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == {k: (230, k - k % 2 if k >= 1000 else k) for k in range(1024)}
+
+
 def test_odd_rows(spark):
     text = "a b c d e f g"
     rows = [(5, text, 0, 0), (5, text, 0, 0), (None, text, 0, 0), (None, None, 0, 0), (7, "x y z", 0, 0), (7, "p q r", 0, 0), (9, "x y z", 0, 0), (4, "p q r", 0, 0)]
