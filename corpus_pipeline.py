@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from lexiloom.llm import decontam, minhash, mixing, quality, sharding
 from lexiloom.llm.scratch import Scratch
 
+#: Per cent; op2 alone has 85.
+SIMILAR = 80
 #: The classifier's scores, the groups and the mix have no SQL form.
 ORACLE_SQL = None
 
@@ -33,8 +35,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group; of rows with one doc_id, one."""
-    found = Scratch(spark, "groups").write(minhash.near_duplicates(spark, docs), "found")
+    """The document of the smallest doc_id of each group at a similarity of 0.8; of rows with one doc_id, one."""
+    found = Scratch(spark, "groups").write(minhash.near_duplicates(spark, docs, similar=SIMILAR), "found")
     left = _without(docs, found.filter(~F.col("kept")))
     twice = found.filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if twice.isEmpty():

@@ -27,6 +27,15 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert scored.filter(f"score >= {quality.ACCEPT}").count() == rows[0]
 
 
+def test_the_stage_groups_from_four_fifths_on(spark):
+    words, odd = [f"w{i}" for i in range(104)], [f"v{i}" for i in range(12)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-10] + odd[:10])), (3, " ".join(words[:-12] + odd))]  # 90 / 110 and 88 / 112 to the first
+    docs = spark.createDataFrame([rows[0], rows[1], (4, "alone in the whole corpus here")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()) == [1, 4]
+    docs = spark.createDataFrame([rows[0], rows[2]], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()) == [1, 3]
+
+
 def test_repeated_and_null_rows_survive_the_filters(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     odd = docs.limit(3).unionByName(docs.limit(3)).unionByName(spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "s", 0)], docs.schema))
