@@ -6,11 +6,13 @@ rotation, are cut into blocks, each with a codebook of its own, and every choice
 of one codeword a block is a filter. List decoding finds all filters a vector
 passes from the block products alone, prefix by prefix, dropping prefixes that
 the best of the blocks left could not save. Two vectors of a high cosine pass
-common filters; a vector that passes fewer than LEAST takes its best ones.
+common filters; a vector that passes too few takes its best ones.
 
 The threshold grows with the number of vectors, so that a filter is passed by
-about CROWD vectors at every size, and the number of filters with it, so that a
-vector passes LISTS on average. Vectors of a filter meet in blocks of at most
+about CROWD vectors at every size, and the number of filters with it. A higher
+threshold catches less with each filter, so that a vector passes more of them
+(LISTS on average, LEAST at least, times the GROWTH power of the number) and
+recall stays where it is. Vectors of a filter meet in blocks of at most
 CHUNK by CHUNK (fuller filters are cut into chunks that meet in pairs). A linked
 pair counts only in the first filter the two have in common, which the lists that
 travel with the vectors tell; what leaves a block is a sum for each vector and a
@@ -45,6 +47,8 @@ from lexiloom.llm.spread import left_join_grouped
 
 COSINE = 0.95
 CROWD, LISTS, LEAST = 8, 16, 10
+#: Beyond this many vectors lists grow: twice as long for each hundredfold.
+GROWS_FROM, GROWTH = 10_000, 0.15
 CHUNK = 2048
 #: Filters fuller than that are broadcast up to this many, and joined by a shuffle beyond.
 FULL = 100_000
@@ -57,7 +61,9 @@ class Code:
 
     def __init__(self, dim: int, n: int):
         p = min(0.25, CROWD / max(n, 1))
-        filters = ceil(LISTS / p)
+        longer = max(1.0, n / GROWS_FROM) ** GROWTH
+        self.least = ceil(LEAST * longer)
+        filters = ceil(LISTS * longer / p)
         self.blocks = max(1, min(dim, max(3, ceil(np.log(filters) / np.log(WORDS)))))
         self.size = max(2, ceil(filters ** (1 / self.blocks)))
         rng = np.random.default_rng([_SEED, dim])
@@ -72,9 +78,9 @@ class Code:
         parts = [y[:, lo:hi] @ w for (lo, hi), w in zip(self.cuts, self.words, strict=True)]
         rows, filters, _ = self._above(parts, np.full(len(x), self.threshold))
         count = np.bincount(rows, minlength=len(x))
-        if len(few := np.flatnonzero(count < LEAST)):
+        if len(few := np.flatnonzero(count < self.least)):
             # Lower the threshold for these until enough pass, and keep the best.
-            bar, some, least = np.full(len(few), self.threshold), [p[few] for p in parts], min(LEAST, self.size**self.blocks)
+            bar, some, least = np.full(len(few), self.threshold), [p[few] for p in parts], min(self.least, self.size**self.blocks)
             while True:
                 bar = np.where(np.bincount((got := self._above(some, bar))[0], minlength=len(few)) < least, bar - 0.25, bar)
                 if (np.bincount(got[0], minlength=len(few)) >= least).all():

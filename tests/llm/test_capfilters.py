@@ -58,3 +58,15 @@ def test_decoding_finds_all_filters_over_the_threshold():
     for k in range(50):
         got, all_ = set(filters[rows == k].tolist()), set(np.flatnonzero(total[k] >= code.threshold).tolist())
         assert all_ <= got and (got == all_ or len(got) == capfilters.LEAST)
+
+
+def test_recall_does_not_fall_with_the_number_of_vectors():
+    rng = np.random.default_rng(3)
+    for dim in (64, 128):
+        x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.standard_normal((2, 400, dim)))
+        y -= (y * x).sum(axis=1, keepdims=True) * x
+        y = 0.95 * x + (1 - 0.95**2) ** 0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
+        for n in (10_000, 1_000_000, 100_000_000):
+            code = capfilters.Code(dim, n)
+            lists = [np.split(f, np.cumsum(np.bincount(r, minlength=400))[:-1]) for r, f in (code.decode(x), code.decode(y))]
+            assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(*lists, strict=True)]) >= 0.95
