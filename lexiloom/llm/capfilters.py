@@ -116,12 +116,10 @@ def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     column = column.fill_null(pa.scalar([], column.type)) if column.null_count else column
     offsets = np.asarray(column.offsets).astype(np.int64)
     flat = np.asarray(column.values.cast(pa.float64()).fill_null(np.nan)) if len(column.values) else np.zeros(0)
-    with np.errstate(over="ignore", invalid="ignore"):
-        sums = np.concatenate([[0.0], np.cumsum(np.where(np.isfinite(flat), np.abs(flat), 0.0))])
-        bad = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
+    bad = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
     lo, hi = offsets[:-1], offsets[1:]
     nonzero = np.array([bool(flat[a:b].any()) for a, b in zip(lo, hi, strict=True)], dtype=bool)
-    return flat, offsets, valid & (bad[hi] == bad[lo]) & nonzero & np.isfinite(sums[-1])
+    return flat, offsets, valid & (bad[hi] == bad[lo]) & nonzero
 
 
 def _fingerprints(batches):

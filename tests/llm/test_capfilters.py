@@ -70,3 +70,9 @@ def test_recall_does_not_fall_with_the_number_of_vectors():
             code = capfilters.Code(dim, n)
             lists = [np.split(f, np.cumsum(np.bincount(r, minlength=400))[:-1]) for r, f in (code.decode(x), code.decode(y))]
             assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(*lists, strict=True)]) >= 0.95
+
+
+def test_huge_finite_components(spark):
+    rows = [(1, [1e308, 1e308]), (2, [1e308, 9e307]), (3, [1.0, 1.0]), (4, [1.0, -1.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in capfilters.cap_links(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
