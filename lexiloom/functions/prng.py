@@ -8,7 +8,7 @@ are taken in halves of 16 bits, which stay below 2^49 and never overflow.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the generator.
@@ -46,16 +46,35 @@ def draw(seed: Column | int, k: Column) -> Column:
     return _let(_let(state, _scrambled), _spread) / F.lit(4294967296.0)
 
 
-def draws(seed: int, start: int, n: int) -> np.ndarray:
-    """Draws ``start`` to ``start + n`` of ``seed``."""
+def with_draw(rows: DataFrame, seed: int, k: Column, out: str) -> DataFrame:
+    """``rows`` with the k-th number of ``seed``, by a chain of plain columns that stays in generated code.
+
+    No step can be null, so that no test for null is pushed down the chain, where it would be written out in full.
+    """
+    low, wide = lambda c: c.bitwiseAND(F.lit(MASK)), lambda c, n: F.shiftrightunsigned(c, n)
+    t, m, x = (F.col(f"_{c}_{out}") for c in "tmx")
+    rows = rows.withColumn(f"_m_{out}", low(F.coalesce(k.cast("long"), F.lit(0)) + F.lit(1)))
+    rows = rows.withColumn(f"_t_{out}", low(_times(F.lit(STEP).cast("long"), m) + F.lit(seed & MASK)))
+    rows = rows.withColumn(f"_m_{out}", t.bitwiseXOR(wide(t, 15))).withColumn(f"_t_{out}", _times(m, t.bitwiseOR(F.lit(1))))
+    rows = rows.withColumn(f"_m_{out}", t.bitwiseXOR(wide(t, 7))).withColumn(f"_m_{out}", _times(m, t.bitwiseOR(F.lit(61))))
+    rows = rows.withColumn(f"_x_{out}", t.bitwiseXOR(low(t + m)))
+    return rows.withColumn(out, low(x.bitwiseXOR(wide(x, 14))).cast("double") * F.lit(2.0**-32)).drop(f"_t_{out}", f"_m_{out}", f"_x_{out}")
+
+
+def draws_at(seed: int, k: np.ndarray) -> np.ndarray:
+    """Draws number ``k`` of ``seed``."""
     with np.errstate(over="ignore"):
-        k = np.arange(start + 1, start + n + 1, dtype=np.uint64)
-        a = (np.uint64(seed & MASK) + k * np.uint64(STEP)).astype(np.uint32)
+        a = (np.uint64(seed & MASK) + (np.asarray(k).astype(np.uint64) + np.uint64(1)) * np.uint64(STEP)).astype(np.uint32)
         t = (a ^ (a >> np.uint32(15))) * (a | np.uint32(1))
         t ^= t + (t ^ (t >> np.uint32(7))) * (t | np.uint32(61))
         return (t ^ (t >> np.uint32(14))).astype(np.float64) / 4294967296.0
 
 
+def draws(seed: int, start: int, n: int) -> np.ndarray:
+    """Draws ``start`` to ``start + n`` of ``seed``."""
+    return draws_at(seed, np.arange(start, start + n, dtype=np.uint64))
+
+
 class Stream:
     """Draws of a seed one after the other, made in blocks."""
 

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom import policy
-from lexiloom.functions.prng import Picker, Stream, draw, permutation
+from lexiloom.functions.prefix import totals_before
+from lexiloom.functions.prng import Picker, Stream, draws_at, permutation
 from lexiloom.functions.text import glyph_count, glyphs, strip_marks
 from lexiloom.operators import stats
+from lexiloom.scratch import staged
 
-#: Site navigation that stands in the pages of the Latin source.
+#: The site navigation that stands in the pages of the Latin source.
 NAVIGATION = ("The Latin Library", "The Classics Page", "The Christian Latin Pages", "Christian Latin")
 
 
@@ -63,8 +67,8 @@ def shuffled(words: DataFrame, seed: int = policy.SHUFFLE_SEED) -> DataFrame:
 
 def glyph_intervals(words: DataFrame) -> DataFrame:
     """glyph, n, lo and hi: glyphs in order of first appearance with their shares of [0, n) by weight; ``words`` has idx and word."""
-    first = F.min(F.col("idx") * 65_536 + F.col("i"))
-    counts = words.select("idx", F.posexplode(glyphs(F.col("word"))).alias("i", "glyph")).groupBy("glyph").agg(F.count(F.lit(1)).alias("n"), first.alias("at"))
+    kinds = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("idx"))
+    counts = kinds.select("idx", "n", F.posexplode(glyphs(F.col("word"))).alias("i", "glyph")).groupBy("glyph").agg(F.sum("n").alias("n"), F.min(F.struct("idx", "i")).alias("at"))
     upto = Window.partitionBy(F.lit(0)).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)  # a row a glyph
     return counts.withColumn("hi", F.sum("n").over(upto)).withColumn("lo", F.col("hi") - F.col("n"))
 
@@ -76,20 +80,37 @@ def pick(at: Column, table: list[tuple[str, int]]) -> Column:
     return F.element_at(items, F.size(F.filter(bounds, lambda b: b <= at)) + 1)
 
 
+def _drawn(seed: int, items: list[str], upper: list[int]):
+    """Words of so many drawn glyphs, from idx, len and k, the number of a word's first draw."""
+    glyph, bounds = pa.array(items, pa.string()), np.array(upper, np.float64)
+
+    def run(batches):
+        for batch in batches:
+            size = np.asarray(batch.column("len")).astype(np.int64)
+            ends = np.cumsum(size)
+            number = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(np.asarray(batch.column("k")) - (ends - size), size)
+            which = np.searchsorted(bounds, draws_at(seed, number) * bounds[-1], side="right")
+            glyphs_of = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), glyph.take(pa.array(np.minimum(which, len(items) - 1))))
+            yield pa.RecordBatch.from_arrays([batch.column("idx"), pc.binary_join(glyphs_of, "")], ["idx", "word"])
+
+    return run
+
+
 def gibberish(words: DataFrame, seed: int = policy.GIBBERISH_SEED) -> DataFrame:
-    """idx and word: as many glyphs as the word at idx has, each drawn by frequency. Draw numbers come from prefix sums."""
-    table = [(r["glyph"], int(r["hi"])) for r in glyph_intervals(words).orderBy("hi").collect()]  # a row a glyph
-    if not table:
-        return words
-    from lexiloom.functions.prefix import totals_before
+    """idx and word: as many glyphs as the word at idx has, each drawn by frequency.
 
-    sized = words.select("idx", glyph_count(F.col("word")).alias("len")).withColumn("block", F.floor(F.col("idx") / 4096).cast("long"))
+    Draw numbers come from prefix sums; draws and glyphs are made for whole Arrow
+    batches of words, so that nothing is ever a row a glyph.
+    """
+    words = staged(words.select("idx", "word", glyph_count(F.col("word")).alias("len")), "gibberish")
+    table = [(r["glyph"], int(r["hi"])) for r in glyph_intervals(words).orderBy("hi").collect()]  # an alphabet
+    if not table:
+        return words.select("idx", "word")
+    sized = words.select("idx", "len", F.floor(F.col("idx") / 4096).cast("long").alias("block"))
     blocks = totals_before(sized.groupBy("block").agg(F.sum("len").alias("v")).withColumn("g", F.lit(0)), ["g"], "block", "v", "off").select("block", "off")
     inside = F.sum("len").over(Window.partitionBy("block").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
-    sized = sized.withColumn("before", F.coalesce(inside, F.lit(0))).join(blocks, "block").withColumn("k", (F.col("off") + F.col("before")).cast("long"))
-    total = float(table[-1][1])
-    glyph = lambda j: F.transform(F.array(draw(seed, F.col("k") + j) * total), lambda x: pick(x, table))[0]
-    return sized.select("idx", F.when(F.col("len") == 0, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.col("len") - 1, F.lit(0))), glyph), "")).alias("word"))
+    sized = sized.withColumn("before", F.coalesce(inside, F.lit(0))).join(blocks, "block").select("idx", "len", (F.col("off") + F.col("before")).cast("long").alias("k"))
+    return sized.mapInArrow(_drawn(seed, [g for g, _ in table], [hi for _, hi in table]), "idx long, word string")
 
 
 def edit(word: list[str], op: float, any_glyph, at_random, weights=(1 / 3, 1 / 3, 1 / 3)) -> None:
@@ -158,8 +179,10 @@ def repeated(words: DataFrame, times: int, size: int) -> DataFrame:
 
 def build_controls(spark: SparkSession, lines: DataFrame, latin_source: DataFrame) -> DataFrame:
     """Five controls in the layout of ``lines`` (one corpus), as one frame of lines by ``corpus``."""
-    words = stats.indexed(lines).select("idx", "word")
-    layout = skeleton(lines)
+    lines = staged(lines.select(*stats.CORPUS, "page", "line_no", "par_start", "words"), "control-lines")
+    words = staged(stats.indexed(lines).select("idx", "word"), "control-words")
+    latin_source = staged(latin_source, "control-latin")
+    layout = staged(skeleton(lines), "control-layout")
     need = words.count()
     have = latin_source.count()
     plain = repeated(latin_source, -(-need // max(have, 1)), have) if 0 < have < need else latin_source
@@ -169,8 +192,9 @@ def build_controls(spark: SparkSession, lines: DataFrame, latin_source: DataFram
     lengths = words.select("idx", glyph_count(F.col("word")).alias("len")).orderBy("idx").coalesce(1).select("len")
     copied = lengths.mapInArrow(_sequential(lambda n: self_citation(len(n), n, frequencies, Stream(policy.SELF_CITATION_SEED), min(policy.SEED_WORDS, len(n)))), "idx long, word string")
     made = {"Latin": plain, "Enciphered Latin": enciphered, "Shuffled": shuffled(words), "Gibberish": gibberish(words), "Self-citation": copied}
+    # Each is written on its own, so that plans of what is done with them stay small.
     out = None
     for name, source in made.items():
-        part = pour(layout, source, name)
+        part = staged(pour(layout, source, name), "control")
         out = part if out is None else out.unionByName(part)
     return out

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lexiloom import policy
 from lexiloom.functions.prefix import totals_before
 from lexiloom.functions.text import glyph_count, glyphs, recoded
+from lexiloom.scratch import staged
 
 CORPUS = ["corpus"]
 #: Ranks made by one row of a frequency; tokens of one block of the reading order.
@@ -30,11 +31,18 @@ def tokens(lines: DataFrame, by: list[str] = CORPUS) -> DataFrame:
     return lines.select(*by, "page", "line_no", "par_start", F.size("words").alias("n_words"), F.posexplode("words").alias("pos", "word"))
 
 
-def types(lines: DataFrame, by: list[str] = CORPUS) -> DataFrame:
-    """Distinct words with n, and how many of them begin (n_first) or end (n_last) a line."""
-    t = tokens(lines, by)
-    return t.groupBy(*by, "word").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("pos") == 0).alias("n_first"), F.count_if(F.col("pos") == F.col("n_words") - 1).alias("n_last"),
+def types(lines: DataFrame, by: list[str] = CORPUS, least: int = 3) -> DataFrame:
+    """Distinct words with n and where they stand, in one pass over the tokens.
+
+    n_first and n_last begin and end a line; long_n, long_first, long_inner and
+    long_last stand in lines of at least ``least`` words; start_n stand in lines that
+    start a paragraph, start_first begin one.
+    """
+    first, last, long = F.col("pos") == 0, F.col("pos") == F.col("n_words") - 1, F.col("n_words") >= least
+    return tokens(lines, by).groupBy(*by, "word").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(first).alias("n_first"), F.count_if(last).alias("n_last"),
+        F.count_if(long).alias("long_n"), F.count_if(long & first).alias("long_first"), F.count_if(long & ~first & ~last).alias("long_inner"), F.count_if(long & last).alias("long_last"),
+        F.count_if("par_start").alias("start_n"), F.count_if(F.col("par_start") & first).alias("start_first"),
     )
 
 
@@ -67,15 +75,32 @@ def glyph_pairs(kinds: DataFrame, by: list[str] = CORPUS, separator: str = polic
     return inside.unionByName(after.filter("n > 0")).unionByName(before.filter("n > 0")).groupBy(*by, "first", "second").agg(F.sum("n").alias("n"))
 
 
-def entropies(kinds: DataFrame, by: list[str] = CORPUS) -> DataFrame:
-    """h0, h1 and h2 of the streams; h2 is that of pairs less that of their first members."""
-    single = glyph_counts(kinds, by)
-    h0 = single.filter("n > 0").groupBy(*by).agg(F.log2(F.count(F.lit(1)).cast("double")).alias("h0"))
-    pairs = glyph_pairs(kinds, by)
-    firsts = pairs.groupBy(*by, "first").agg(F.sum("n").alias("n"))
-    h2 = entropy(pairs, by, out="_pairs").join(entropy(firsts, by, out="_firsts"), by)
-    h2 = h2.select(*by, F.greatest(F.col("_pairs") - F.col("_firsts"), F.lit(0.0)).alias("h2"))
-    return h0.join(entropy(single, by, out="h1"), by, "left").join(h2, by, "left").fillna(0.0, ["h1", "h2"])
+def entropies(kinds: DataFrame, by: list[str] = CORPUS, separator: str = policy.SEPARATOR) -> DataFrame:
+    """h0, h1 and h2 of the streams; h2 is that of pairs less that of their first members.
+
+    Single glyphs are pairs without a second member here, so that one table of
+    counts, summed twice more, gives all three.
+    """
+    k = kinds.select(*by, "n", "n_first", "n_last", glyphs(F.col("word")).alias("g"))
+    entry = lambda first, second, n: F.struct(first.alias("first"), second.alias("second"), n.alias("n"))
+    none, gap, n = F.lit(None).cast("string"), F.lit(separator), F.col("n")
+    opens, closes = n - F.col("n_first"), n - F.col("n_last")
+    size = F.size("g")
+    rows = F.concat(
+        F.transform("g", lambda x: entry(x, none, n)), F.array(entry(gap, none, opens)),
+        F.when(size > 1, F.transform(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda i: entry(F.get("g", i - 1), F.get("g", i), n))).otherwise(F.array()),
+        F.when(size > 0, F.array(entry(F.get("g", size - 1), gap, closes), entry(gap, F.get("g", F.lit(0)), opens))).otherwise(F.array()),
+    )
+    counts = k.select(*by, F.inline(rows)).filter("n > 0").groupBy(*by, "first", "second").agg(F.sum("n").alias("n"))
+    bits = lambda c: c * F.log2(c.cast("double"))
+    firsts = counts.groupBy(*by, F.col("second").isNull().alias("single"), "first").agg(F.sum("n").alias("n"), F.sum(bits(n)).alias("terms"))
+    only = lambda c, v: F.sum(F.when(c, v))
+    single, pair = F.col("single"), ~F.col("single")
+    of = lambda total, terms: F.log2(total.cast("double")) - terms / total
+    h1 = of(only(single, n), only(single, F.col("terms")))
+    h2 = of(only(pair, n), only(pair, F.col("terms"))) - of(only(pair, n), only(pair, bits(n)))
+    least = lambda x: F.greatest(F.coalesce(x, F.lit(0.0)), F.lit(0.0))
+    return firsts.groupBy(*by).agg(F.log2(F.count_if(single).cast("double")).alias("h0"), least(h1).alias("h1"), least(h2).alias("h2"))
 
 
 def zipf(kinds: DataFrame, by: list[str] = CORPUS, least: int = policy.ZIPF_MIN_FREQ) -> DataFrame:
@@ -141,24 +166,25 @@ def mattr(lines: DataFrame, by: list[str] = CORPUS, window: int = policy.MATTR_W
     A token is the first of its word in as many windows as start after the word's
     last occurrence and still hold it. That occurrence matters only if it is less
     than a window away, so that it is looked for in the token's own block of the
-    reading order and the one before: no word is gathered as a whole.
+    reading order, to which the last tokens of the block before are added: no word is
+    gathered as a whole. In a corpus of one window or less every first occurrence is
+    one at all, and such a corpus lies in one block.
     """
     if window <= 0:
         raise ValueError("the window must be positive")
-    at = indexed(lines, by).select(*by, "word", "idx").withColumn("block", F.floor(F.col("idx") / max(INDEX_BLOCK, window)).cast("long"))
-    last = at.groupBy(*by, "word", "block").agg(F.max("idx").alias("_last")).withColumn("block", F.col("block") + 1)
-    own = F.lag("idx").over(Window.partitionBy(*by, "word", "block").orderBy("idx"))
-    at = at.withColumn("_own", own).join(last, [*by, "word", "block"], "left")
-    prev = F.coalesce("_own", "_last", F.lit(-1))
-    size = at.groupBy(*by).agg((F.max("idx") + 1).alias("size"))
+    size = max(INDEX_BLOCK, 2 * window)
+    at = indexed(lines, by).select(*by, "word", "idx").withColumn("own", F.floor(F.col("idx") / size).cast("long"))
+    late = F.pmod("idx", F.lit(size)) >= size - window
+    at = at.withColumn("block", F.explode(F.when(late, F.array("own", F.col("own") + 1)).otherwise(F.array("own"))))
+    prev = F.coalesce(F.lag("idx").over(Window.partitionBy(*by, "word", "block").orderBy("idx")), F.lit(-1))
+    at = at.withColumn("prev", prev).filter("own = block")
+    whole = lines.groupBy(*by).agg(F.sum(F.size("words")).cast("long").alias("size"))
     w = F.lit(window).cast("long")
-    at = at.withColumn("prev", prev).join(F.broadcast(size), by)  # a row a corpus
+    at = at.join(F.broadcast(whole), by)  # a row a corpus
     first_start = F.greatest(F.col("prev") + 1, F.col("idx") - w + 1, F.lit(0))
     starts = F.greatest(F.lit(0), F.least("idx", F.col("size") - w) - first_start + 1)
-    whole = F.count_if(F.col("prev") < 0)
-    out = at.groupBy(*by).agg(F.sum(starts).alias("hits"), F.max("size").alias("size"), whole.alias("firsts"))
+    out = at.groupBy(*by).agg(F.sum(starts).alias("hits"), F.max("size").alias("size"), F.count_if(F.col("prev") < 0).alias("firsts"))
     long = F.col("size") > w
-    # In a corpus of one window or less every first occurrence is one at all.
     return out.select(*by, F.when(long, F.col("hits") / (w * (F.col("size") - w + 1))).otherwise(F.col("firsts") / F.col("size")).alias("mattr"))
 
 
@@ -197,10 +223,14 @@ def initial_share(kinds: DataFrame, glyph: str = "q", by: list[str] = CORPUS) ->
 
 def gallows(lines: DataFrame, by: list[str] = CORPUS, marks=policy.GALLOWS) -> DataFrame:
     """Shares of lines whose first glyph is one of ``marks``, at paragraph starts and elsewhere, and their ratio."""
-    first = lines.filter(F.size("words") > 0).select(*by, "par_start", F.get(glyphs(F.get("words", F.lit(0))), F.lit(0)).isin(*marks).cast("int").alias("hit"))
-    side = lambda c: (F.sum(F.when(c, F.col("hit")).otherwise(0)).cast("long"), F.count_if(c))
-    (a, an), (b, bn) = side(F.col("par_start")), side(~F.col("par_start"))
-    out = first.groupBy(*by).agg(a.alias("start_hits"), an.alias("start_lines"), b.alias("other_hits"), bn.alias("other_lines"))
+    return gallows_of(types(lines, by), by, marks)
+
+
+def gallows_of(kinds: DataFrame, by: list[str] = CORPUS, marks=policy.GALLOWS) -> DataFrame:
+    """:func:`gallows` from the table of types."""
+    first = kinds.filter("n_first > 0").select(*by, F.col("start_first").alias("s"), (F.col("n_first") - F.col("start_first")).alias("o"), F.coalesce(F.get(glyphs(F.col("word")), F.lit(0)).isin(*marks), F.lit(False)).alias("hit"))
+    hits = lambda c: F.sum(F.when(F.col("hit"), F.col(c)).otherwise(0)).cast("long")
+    out = first.groupBy(*by).agg(hits("s").alias("start_hits"), F.sum("s").alias("start_lines"), hits("o").alias("other_hits"), F.sum("o").alias("other_lines"))
     out = out.withColumn("start_share", ratio(F.col("start_hits"), F.col("start_lines"))).withColumn("other_share", ratio(F.col("other_hits"), F.col("other_lines")))
     contrast = F.when(F.col("other_share") > 0, ratio(F.col("start_share"), F.col("other_share"))).when(F.col("start_share") > 0, F.lit(float("inf"))).otherwise(0.0)
     return out.withColumn("contrast", contrast)
@@ -245,11 +275,16 @@ def total_variation(counts: DataFrame, by: list[str], p: str, q: str, out: str =
 
 def line_effects(lines: DataFrame, by: list[str] = CORPUS, least: int = 3) -> DataFrame:
     """Mean lengths of first, inner and last words of lines of at least ``least`` words, with counts."""
-    t = tokens(lines, by).filter(F.col("n_words") >= least).withColumn("len", glyph_count(F.col("word")))
-    first, last = F.col("pos") == 0, F.col("pos") == F.col("n_words") - 1
-    inner = ~first & ~last
-    mean = lambda c: F.coalesce(F.avg(F.when(c, F.col("len"))), F.lit(0.0))
-    return t.groupBy(*by).agg(mean(first).alias("first_mean"), mean(inner).alias("inner_mean"), mean(last).alias("last_mean"), F.count_if(first).alias("lines"), F.count_if(inner).alias("inner_count"))
+    return effects_of(types(lines, by, least), by)
+
+
+def effects_of(kinds: DataFrame, by: list[str] = CORPUS) -> DataFrame:
+    """:func:`line_effects` from the table of types."""
+    k = kinds.filter("long_n > 0").withColumn("len", glyph_count(F.col("word")))
+    mean = lambda c: ratio(F.sum(F.col(c) * F.col("len")), F.sum(c))
+    return k.groupBy(*by).agg(
+        mean("long_first").alias("first_mean"), mean("long_inner").alias("inner_mean"), mean("long_last").alias("last_mean"), F.sum("long_first").alias("lines"), F.sum("long_inner").alias("inner_count"),
+    )
 
 
 def line_profile(lines: DataFrame, by: list[str] = CORPUS, least: int = 5) -> DataFrame:
@@ -265,20 +300,33 @@ def line_profile(lines: DataFrame, by: list[str] = CORPUS, least: int = 5) -> Da
 
 def edge_glyphs(lines: DataFrame, by: list[str] = CORPUS, least: int = 3) -> DataFrame:
     """For each glyph how often it ends a line's last word or another word, and begins its first word or another."""
-    t = tokens(lines, by).filter((F.col("n_words") >= least) & (F.col("word") != ""))
-    kinds = t.groupBy(*by, "word").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("pos") == 0).alias("f"), F.count_if(F.col("pos") == F.col("n_words") - 1).alias("l"))
-    g = kinds.withColumn("g", glyphs(F.col("word")))
-    zero = F.lit(0).cast("long")
-    ends = g.select(*by, F.element_at("g", -1).alias("glyph"), F.col("l").alias("line_end"), (F.col("n") - F.col("l")).alias("other_end"), zero.alias("line_start"), zero.alias("other_start"))
-    starts = g.select(*by, F.element_at("g", 1).alias("glyph"), zero.alias("line_end"), zero.alias("other_end"), F.col("f").alias("line_start"), (F.col("n") - F.col("f")).alias("other_start"))
+    return edges_of(types(lines, by, least), by)
+
+
+def edges_of(kinds: DataFrame, by: list[str] = CORPUS) -> DataFrame:
+    """:func:`edge_glyphs` from the table of types."""
+    g = kinds.filter("long_n > 0 AND word <> ''").withColumn("g", glyphs(F.col("word")))
+    zero, rest = F.lit(0).cast("long"), lambda c: F.col("long_n") - F.col(c)
+    sides = F.array(
+        F.struct(F.element_at("g", -1).alias("glyph"), F.col("long_last").alias("line_end"), rest("long_last").alias("other_end"), zero.alias("line_start"), zero.alias("other_start")),
+        F.struct(F.element_at("g", 1).alias("glyph"), zero.alias("line_end"), zero.alias("other_end"), F.col("long_first").alias("line_start"), rest("long_first").alias("other_start")),
+    )
     four = ("line_end", "other_end", "line_start", "other_start")
-    return ends.unionByName(starts).groupBy(*by, "glyph").agg(*[F.sum(c).alias(c) for c in four])
+    return g.select(*by, F.explode(sides).alias("e")).select(*by, "e.*").groupBy(*by, "glyph").agg(*[F.sum(c).alias(c) for c in four])
 
 
 def edge_divergence(lines: DataFrame, by: list[str] = CORPUS) -> DataFrame:
     """Total variation of final glyphs at line ends and elsewhere, and of initial glyphs at line starts and elsewhere."""
-    e = edge_glyphs(lines, by)
-    return total_variation(e, by, "line_end", "other_end", "end_divergence").join(total_variation(e, by, "line_start", "other_start", "start_divergence"), by)
+    return divergence_of(edge_glyphs(lines, by), by)
+
+
+def divergence_of(edges: DataFrame, by: list[str] = CORPUS) -> DataFrame:
+    """:func:`edge_divergence` from the table of edge glyphs, a row a glyph."""
+    four = ("line_end", "other_end", "line_start", "other_start")
+    whole = edges.groupBy(*by).agg(*[F.sum(c).alias(f"_{c}") for c in four])
+    each = edges.join(F.broadcast(whole), by)  # a row a corpus
+    gap = lambda p, q: F.when((F.max(f"_{p}") > 0) & (F.max(f"_{q}") > 0), F.sum(F.abs(ratio(F.col(p), F.col(f"_{p}")) - ratio(F.col(q), F.col(f"_{q}")))) / 2).otherwise(0.0)
+    return each.groupBy(*by).agg(gap("line_end", "other_end").alias("end_divergence"), gap("line_start", "other_start").alias("start_divergence"))
 
 
 def top_edges(edges: DataFrame, by: list[str] = CORPUS, edge: str = "line_end", other: str = "other_end", least: int = 20, n: int = 8) -> DataFrame:
@@ -292,24 +340,34 @@ def top_edges(edges: DataFrame, by: list[str] = CORPUS, edge: str = "line_end",
 
 def paragraph_lines(lines: DataFrame, by: list[str] = CORPUS) -> DataFrame:
     """Mean word length of lines that start a paragraph and of others, and the total variation of initial glyphs."""
-    t = tokens(lines, by).filter(F.col("word") != "")
-    kinds = t.groupBy(*by, "word").agg(F.count_if("par_start").alias("s"), F.count_if(~F.col("par_start")).alias("o"))
-    k = kinds.withColumn("len", glyph_count(F.col("word")))
-    means = k.groupBy(*by).agg(ratio(F.sum(F.col("s") * F.col("len")), F.sum("s")).alias("start_mean"), ratio(F.sum(F.col("o") * F.col("len")), F.sum("o")).alias("other_mean"))
-    initials = k.groupBy(*by, F.get(glyphs(F.col("word")), F.lit(0)).alias("glyph")).agg(F.sum("s").alias("s"), F.sum("o").alias("o"))
+    return paragraphs_of(types(lines, by), by)
+
+
+def paragraphs_of(kinds: DataFrame, by: list[str] = CORPUS) -> DataFrame:
+    """:func:`paragraph_lines` from the table of types; sums by initial glyph give both."""
+    k = kinds.filter("word <> ''").select(*by, F.col("start_n").alias("s"), (F.col("n") - F.col("start_n")).alias("o"), glyphs(F.col("word")).alias("g"))
+    initials = k.groupBy(*by, F.get("g", F.lit(0)).alias("glyph")).agg(F.sum("s").alias("s"), F.sum("o").alias("o"), F.sum(F.col("s") * F.size("g")).alias("sl"), F.sum(F.col("o") * F.size("g")).alias("ol"))
+    means = initials.groupBy(*by).agg(ratio(F.sum("sl"), F.sum("s")).alias("start_mean"), ratio(F.sum("ol"), F.sum("o")).alias("other_mean"))
     return means.withColumn("delta", F.col("start_mean") - F.col("other_mean")).join(total_variation(initials, by, "s", "o", "initial_tv"), by)
 
 
 def signature(lines: DataFrame, by: list[str] = CORPUS, window: int = policy.MATTR_WINDOW, least: int = policy.ZIPF_MIN_FREQ) -> DataFrame:
-    """The whole battery: one row a group."""
-    kinds = types(lines, by)
+    """The whole battery: one row a group.
+
+    The lines are written once, and so is the table of their types, from which all
+    but the moving ratio and the neighbours derive: a plan of ten branches over the
+    raw input would cost more to make than to run.
+    """
+    lines = staged(lines.select(*by, "page", "line_no", "par_start", "words"), "signature-lines")
+    kinds = staged(types(lines, by), "signature-types")
+    edges = staged(edges_of(kinds, by), "signature-edges")
     base = vocabulary(kinds, by)
-    start = gallows(lines, by).select(*by, F.col("start_share").alias("gallows_start"), F.col("other_share").alias("gallows_other"), F.col("contrast").alias("gallows_contrast"))
-    effects = line_effects(lines, by).select(*by, (F.col("first_mean") - F.col("inner_mean")).alias("first_effect"), (F.col("last_mean") - F.col("inner_mean")).alias("last_effect"))
+    start = gallows_of(kinds, by).select(*by, F.col("start_share").alias("gallows_start"), F.col("other_share").alias("gallows_other"), F.col("contrast").alias("gallows_contrast"))
+    effects = effects_of(kinds, by).select(*by, (F.col("first_mean") - F.col("inner_mean")).alias("first_effect"), (F.col("last_mean") - F.col("inner_mean")).alias("last_effect"))
     parts = [
         length_stats(kinds, by), entropies(kinds, by), zipf(kinds, by, least), mattr(lines, by, window), start,
-        initial_share(kinds, "q", by).withColumnRenamed("share", "q_initial"), adjacent(lines, by).drop("identical", "distance1"), effects, edge_divergence(lines, by),
-        paragraph_lines(lines, by).select(*by, F.col("delta").alias("paragraph_delta"), F.col("initial_tv").alias("paragraph_tv")),
+        initial_share(kinds, "q", by).withColumnRenamed("share", "q_initial"), adjacent(lines, by).drop("identical", "distance1"), effects, divergence_of(edges, by),
+        paragraphs_of(kinds, by).select(*by, F.col("delta").alias("paragraph_delta"), F.col("initial_tv").alias("paragraph_tv")),
     ]
     for part in parts:
         base = base.join(part, by, "left")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.operators import stats
+from lexiloom.scratch import staged
 from lexiloom.sources.adapters import LINES_SQL, conversation_lines, document_lines
 
 
@@ -14,7 +15,8 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def _kinds(spark, sf):
-    return stats.types(document_lines(spark, sf))
+    """The table of types, written once for plans that read it several times."""
+    return staged(stats.types(document_lines(spark, sf)), "types")
 
 
 def token_counts(spark, sf):
@@ -101,11 +103,11 @@ def line_edges(spark, sf):
 
 
 def line_edge_divergence(spark, sf):
-    return rounded(stats.edge_divergence(document_lines(spark, sf)))
+    return rounded(stats.divergence_of(stats.edges_of(_kinds(spark, sf))))
 
 
 def line_edge_top(spark, sf):
-    return rounded(stats.top_edges(stats.edge_glyphs(document_lines(spark, sf))).drop("rank"))
+    return rounded(stats.top_edges(stats.edges_of(_kinds(spark, sf)))).withColumn("rank", F.col("rank").cast("long"))
 
 
 def line_edge_second_corpus(spark, sf):
@@ -116,7 +118,7 @@ def line_edge_second_corpus(spark, sf):
 
 
 def paragraph_starts(spark, sf):
-    return rounded(stats.paragraph_lines(document_lines(spark, sf)))
+    return rounded(stats.paragraphs_of(_kinds(spark, sf)))
 
 
 def signature_by_language(spark, sf):
@@ -214,7 +216,7 @@ FROM (SELECT corpus, n, g, unnest(g) AS c, unnest(range(1, len(g) + 1)) AS i FRO
   round(coalesce(avg(length(word)) FILTER (n_words - pos = 1), 0), 6) AS last, count(*) FILTER (pos = 0) AS lines FROM tok WHERE n_words >= 5 GROUP BY corpus""")),
     "line_edges": (line_edges, _sql("SELECT * FROM edges", _EDGES)),
     "line_edge_divergence": (line_edge_divergence, _sql(f"SELECT corpus, {_R('end_divergence', 'start_divergence')} FROM ed", _EDGES + _DIV)),
-    "line_edge_top": (line_edge_top, _sql("""SELECT corpus, glyph, line_end AS edge, other_end AS other, round(es, 6) AS edge_share, round(os, 6) AS other_share, round(ratio, 6) AS ratio FROM (
+    "line_edge_top": (line_edge_top, _sql("""SELECT corpus, k AS rank, glyph, line_end AS edge, other_end AS other, round(es, 6) AS edge_share, round(os, 6) AS other_share, round(ratio, 6) AS ratio FROM (
   SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY ratio DESC, glyph) AS k FROM (SELECT *, CASE WHEN os > 0 THEN es / os ELSE 'Infinity'::DOUBLE END AS ratio FROM (
   SELECT *, line_end::DOUBLE / sum(line_end) OVER (PARTITION BY corpus) AS es, other_end::DOUBLE / sum(other_end) OVER (PARTITION BY corpus) AS os FROM edges)) WHERE line_end >= 20) WHERE k <= 8""", _EDGES)),
     "line_edge_second_corpus": (line_edge_second_corpus, _sql("""SELECT glyph, round(a.ratio, 6) AS ratio_here, round(b.ratio, 6) AS ratio_there FROM

@@ -13,8 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: A table of fewer bytes may be one row group, that is one task; it is dealt to all cores.
+SMALL_BYTES = 256 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_BYTES
+    return df.repartition(spark.sparkContext.defaultParallelism) if small else df
 
 
 def words_of(text: Column) -> Column:
