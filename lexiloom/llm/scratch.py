@@ -1,55 +1,7 @@
-"""Intermediate tables in the folder that all executors share.
-
-Every operator that has to cut its lineage writes Parquet below
-``spark.checkpoint.dir``. A lost executor loses no such table, and a rerun task
-reads the same files.
-"""
+"""Intermediate tables of the operators; see :mod:`lexiloom.scratch`."""
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_own_root: list[str] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder the session names; a temporary one in plain local mode only."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _own_root:
-        _own_root.append(tempfile.mkdtemp(prefix="lexiloom-"))
-        atexit.register(shutil.rmtree, _own_root[0], ignore_errors=True)
-    return "file://" + _own_root[0]
-
-
-class Scratch:
-    """Tables of one operator call, below a folder of its own."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.path = f"{shared_root(spark)}/lexiloom/{label}-{uuid.uuid4().hex}"
-
-    def folder(self, name: str) -> str:
-        return f"{self.path}/{name}"
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and give back a frame that reads the files."""
-        df.write.mode("errorifexists").option("compression", "zstd").parquet(self.folder(name))
-        return self.read(df, name)
-
-    def read(self, like: DataFrame, name: str) -> DataFrame:
-        return self.spark.read.schema(like.schema).parquet(self.folder(name))
+from lexiloom.scratch import Scratch, shared_root
 
-    def drop(self, name: str) -> None:
-        """Remove a table nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder(name))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["Scratch", "shared_root"]
