@@ -30,9 +30,11 @@ their score. Empty table: empty result. Other columns are not looked at.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from math import exp, inf, log
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +46,6 @@ from lexiloom.llm.quality import held_out
 from lexiloom.llm.scratch import Scratch
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-PIECE_BYTES = 16
 RANK = 10.0
 ROUNDS = 2
 FLOOR = 0.1
@@ -64,7 +65,7 @@ def load_pieces(path: str = VOCABULARY) -> list[bytes]:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     by_rank = sorted((i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))), key=lambda i: (-model.get_score(i), i))
     found = dict.fromkeys(model.id_to_piece(i).replace("▁", " ").encode() for i in by_rank)
-    usable = [p for p in found if len(p) <= PIECE_BYTES and b" " not in p[1:] and not any(65 <= c <= 90 for c in p)]
+    usable = [p for p in found if b" " not in p[1:] and not any(65 <= c <= 90 for c in p)]
     return list(dict.fromkeys(usable + [bytes([c]) for c in range(256)]))
 
 
@@ -78,7 +79,8 @@ class Pieces:
     SLOT_BITS = 20
 
     def __init__(self, pieces: list[bytes]):
-        up, _ = tk.powers(PIECE_BYTES + 1)
+        self.longest = max(map(len, pieces))
+        up, _ = tk.powers(self.longest + 1)
         sums = [((np.frombuffer(p, np.uint8).astype(np.uint64) + np.uint64(1)) * up[: len(p)]).sum(dtype=np.uint64, keepdims=True) for p in pieces]
         keys = np.concatenate([_piece_hash(s, len(p)) for s, p in zip(sums, pieces, strict=True)])
         self.keys = keys
@@ -111,7 +113,7 @@ def _arcs(pieces: Pieces, chars: np.ndarray, lengths: np.ndarray) -> Iterator[tu
     np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * up[: chars.shape[1]], axis=1, out=sums[:, 1:])
     for end in range(1, chars.shape[1] + 1):
         live = np.flatnonzero(lengths >= end)
-        for start in range(max(0, end - PIECE_BYTES), end):
+        for start in range(max(0, end - pieces.longest), end):
             keys = _piece_hash((sums[live, end] - sums[live, start]) * down[start], end - start)
             at, which = pieces.find(keys)
             if len(at):
@@ -161,50 +163,54 @@ def word_logs(pieces: Pieces, logs: np.ndarray, data: np.ndarray, starts: np.nda
     return out, expected
 
 
+def _blocks_of_arcs(chars: np.ndarray, size: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """First and last end position of the blocks of a long word."""
+    for lo in range(0, len(chars), size):
+        yield lo, min(len(chars), lo + size)
+
+
+def _block_arcs(pieces: Pieces, chars: np.ndarray, lo: int, hi: int) -> tuple[list[int], list[int], list[int]]:
+    """Lengths and pieces of all arcs that end at lo + 1 to hi, by end, and where each end's begin."""
+    base = max(0, lo - pieces.longest)
+    up, down = tk.powers(hi - base + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((chars[base:hi].astype(np.uint64) + np.uint64(1)) * up[: hi - base], dtype=np.uint64)])
+    ends, sizes, which = [], [], []
+    for size in range(1, min(pieces.longest, hi) + 1):
+        end = np.arange(max(lo + 1, size), hi + 1)
+        s = end - size - base
+        at, got = pieces.find(_piece_hash((sums[end - base] - sums[s]) * down[s], size))
+        ends.append(end[at])
+        sizes.append(np.full(len(at), size))
+        which.append(got)
+    ends, sizes, which = np.concatenate(ends), np.concatenate(sizes), np.concatenate(which)
+    by = np.argsort(ends, kind="stable")
+    return sizes[by].tolist(), which[by].tolist(), np.searchsorted(ends[by], np.arange(lo + 1, hi + 2)).tolist()
+
+
 def _one_word(pieces: Pieces, logs: np.ndarray, word: np.ndarray, expected: np.ndarray | None, weight: float) -> float:
-    """The same for one long word, all of whose arcs of one length are found together; by blocks of positions."""
+    """The same for one long word, block by block of positions; arcs are found again for the way back, not kept."""
     chars = np.concatenate([[np.uint8(32)], word])
-    total = len(chars)
-    ahead = np.full(total + 1, -np.inf)
-    ahead[0] = 0
-    kept = []
-    for lo in range(0, total, 1 << 16):
-        hi = min(total, lo + (1 << 16))
-        base = max(0, lo - PIECE_BYTES)
-        up, down = tk.powers(hi - base + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((chars[base:hi].astype(np.uint64) + np.uint64(1)) * up[: hi - base], dtype=np.uint64)])
-        ends, sizes, which = [], [], []
-        for size in range(1, PIECE_BYTES + 1):
-            end = np.arange(max(lo + 1, size), hi + 1)
-            if not len(end):
-                continue
-            s = end - size - base
-            at, got = pieces.find(_piece_hash((sums[end - base] - sums[s]) * down[s], size))
-            ends.append(end[at])
-            sizes.append(np.full(len(at), size))
-            which.append(got)
-        ends, sizes, which = np.concatenate(ends), np.concatenate(sizes), np.concatenate(which)
-        by = np.argsort(ends, kind="stable")
-        ends, sizes, which = ends[by], sizes[by], which[by]
-        cut = np.searchsorted(ends, np.arange(lo + 1, hi + 2))
-        for k in range(hi - lo):
-            a, b = cut[k], cut[k + 1]
-            x = ahead[lo + 1 + k - sizes[a:b]] + logs[which[a:b]]
-            m = x.max()
-            ahead[lo + 1 + k] = m + np.log(np.exp(x - m).sum())
-        kept.append((lo, hi, ends, sizes, which, cut))
+    total, table = len(chars), logs.tolist()
+    ahead = array("d", [0.0])
+    for lo, hi in _blocks_of_arcs(chars):
+        sizes, which, cut = _block_arcs(pieces, chars, lo, hi)
+        for end in range(lo + 1, hi + 1):
+            x = [ahead[end - sizes[j]] + table[which[j]] for j in range(cut[end - lo - 1], cut[end - lo])]
+            m = max(x)
+            ahead.append(m + log(sum(exp(y - m) for y in x)))
     if expected is not None:
-        back = np.full(total + 1, -np.inf)
-        back[total] = 0
-        for lo, hi, _, sizes, which, cut in reversed(kept):
-            for k in range(hi - lo - 1, -1, -1):
-                a, b = cut[k], cut[k + 1]
-                end = lo + 1 + k
-                start = end - sizes[a:b]
-                step = logs[which[a:b]] + back[end]
-                np.add.at(expected, which[a:b], weight * np.exp(ahead[start] + step - ahead[total]))
-                back[start] = np.logaddexp(back[start], step)
-    return float(ahead[total])
+        back = array("d", [-inf]) * (total + 1)
+        back[total] = 0.0
+        for lo, hi in reversed(list(_blocks_of_arcs(chars))):
+            sizes, which, cut = _block_arcs(pieces, chars, lo, hi)
+            for end in range(hi, lo, -1):
+                for j in range(cut[end - lo - 1], cut[end - lo]):
+                    start, step = end - sizes[j], table[which[j]] + back[end]
+                    expected[which[j]] += weight * exp(ahead[start] + step - ahead[total])
+                    old = back[start]
+                    m = max(old, step)
+                    back[start] = m + log(exp(old - m) + exp(step - m))
+    return ahead[total]
 
 
 @lru_cache(maxsize=2)
@@ -390,8 +396,8 @@ def score(spark: SparkSession, docs: DataFrame, parts: int = HELD_OUT, **how) ->
         out = scratch.write(out.withColumn("row", F.monotonically_increasing_id()), "scored")
         tail = out.select("row", F.inline("tail")).join(words.groupBy("h").agg(F.sum("n").alias("n")), "h", "left")
         n = F.coalesce("n", F.lit(0))
-        log = F.log10((n + F.lit(SMOOTH)) / F.lit(model.tokens + SMOOTH * (model.kinds + 1)))
-        more = tail.groupBy("row").agg(F.sum(log * F.col("k")).alias("more"), F.sum(F.when(n > 0, F.col("k")).otherwise(0)).alias("also"))
+        per_word = F.log10((n + F.lit(SMOOTH)) / F.lit(model.tokens + SMOOTH * (model.kinds + 1)))
+        more = tail.groupBy("row").agg(F.sum(per_word * F.col("k")).alias("more"), F.sum(F.when(n > 0, F.col("k")).otherwise(0)).alias("also"))
         out = out.join(more, "row", "left")
         out = out.withColumn("base_score", F.col("base_score") + F.coalesce("more", F.lit(0.0))).withColumn("n_known", F.col("n_known") + F.coalesce("also", F.lit(0)))
     return out.select("doc_id", held_out(F.col("doc_id"), parts).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -24,7 +24,7 @@ Shingles are 64-bit hashes; the whole set of a text has a fingerprint of 128 bit
 
 Edge cases. Null, empty or blank text: the empty set, linked with nothing. Fewer
 words than five: the whole sequence is the one shingle. Rows of one doc_id are
-one node. Null doc_id: n_shingles as for any text, component_id that of its
+one node, which each of their texts can link. A doc_id that is no integer column raises. Null doc_id: n_shingles as for any text, component_id that of its
 equals or null, kept false. Ties cannot arise, doc_ids being ordered. Empty
 table: empty result. Columns other than doc_id and text are not looked at.
 """
@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lexiloom.llm import textkernel as tk
 from lexiloom.llm.components import components
@@ -106,16 +107,18 @@ def _full_sets(batches):
 
 
 def confirmed(scratch: Scratch, sets: DataFrame, pairs: DataFrame, name: str, similar: int = SIMILAR) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full ``sets`` (doc_id, shingles) are similar."""
+    """Those of ``pairs`` (a, b) of which some two full ``sets`` (doc_id, shingles) are similar."""
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     out = both.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("n"))
-    return scratch.write(out.filter(F.col("i") * 100 >= (F.col("n") - F.col("i")) * similar).select("a", "b"), name)
+    return scratch.write(out.filter(F.col("i") * 100 >= (F.col("n") - F.col("i")) * similar).select("a", "b").distinct(), name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text)."""
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id must be an integer column")
     scratch = Scratch(spark, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = scratch.write(docs.mapInArrow(tk.lean(_sketch), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "sketch")
@@ -137,7 +140,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similar: int = SIMILAR
     pairs = scratch.write(members.filter("node > centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs1")
 
     # Full sets are built once, for the documents that share a bucket with another text.
-    texts = docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # A doc_id that several texts bear has a set for each of them.
+    texts = docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"])
     sets = scratch.write(texts.select("doc_id", "text").mapInArrow(tk.lean(_full_sets), "doc_id long, shingles array<long>"), "sets")
 
     # Rows of one doc_id but different texts are one node: their classes are linked through it.
@@ -159,7 +163,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similar: int = SIMILAR
     # The rounds are quick, not whole: the rest of the pairs of two components by an exact join.
     rest = scratch.write(_rest_pairs(scratch, members, labels, sets, rows, similar).join(pairs, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty() and not (found := confirmed(scratch, sets, rest, "links-rest", similar)).isEmpty():
-        labels = scratch.write(components(scratch, links.unionByName(found), "cc-rest-"), "labels-rest")
+        labels = components(scratch, links.unionByName(found), "cc-rest-")
+    labels = scratch.write(labels, "labels")
+    scratch.keep_only("sketch", "classes", "labels")
 
     of_class = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*same, "n", F.coalesce("component", "rep").alias("of_class"))
     out = left_join_grouped(sketch.select("doc_id", *same), of_class, same, "n", rows)
@@ -186,12 +192,12 @@ def _rest_pairs(scratch: Scratch, members: DataFrame, labels: DataFrame, sets: D
     """
     nodes = scratch.write(_several(members, labels, rows).select("node", "component").distinct(), "several")
     own = sets.withColumnRenamed("doc_id", "node").join(nodes, "node").select("node", "component", F.size("shingles").cast("long").alias("size"), "shingles")
-    own = scratch.write(own, "own")
-    words = own.select("node", "component", "size", F.explode("shingles").alias("w"))
+    own = scratch.write(own.withColumn("h", F.xxhash64("shingles")), "own")
+    words = own.select("node", "component", "size", "h", F.explode("shingles").alias("w"))
     held = scratch.write(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("df", F.col("n")), "held")
     total = own.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     shared = left_join_grouped(words, held, ["w"], "n", total).filter("df IS NOT NULL")
-    order = shared.groupBy("node", "component", "size").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("order"))
+    order = shared.groupBy("node", "component", "size", "h").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("order"))
     order = order.withColumn("alone", F.col("size") - F.size("order"))
     most = F.expr(f"size - (size * {similar} + 99) div 100 + 1 - alone").cast("int")
     few = F.expr(f"size - (2 * size * {similar} + {99 + similar}) div {100 + similar} + 1 - alone").cast("int")

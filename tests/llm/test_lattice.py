@@ -47,7 +47,7 @@ def test_empty(spark):
 def brute(word, prob):
     chars, ahead = b" " + word, [1.0] + [0.0] * (len(word) + 1)
     for j in range(1, len(chars) + 1):
-        ahead[j] = sum(ahead[i] * prob.get(chars[i:j], 0.0) for i in range(max(0, j - lattice.PIECE_BYTES), j))
+        ahead[j] = sum(ahead[i] * prob.get(chars[i:j], 0.0) for i in range(j))
     return math.log(ahead[-1])
 
 

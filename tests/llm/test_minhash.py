@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from lexiloom.llm import minhash
 
@@ -77,6 +78,20 @@ def test_odd_rows(spark):
     assert minhash.near_duplicates(spark, spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_every_text_of_an_id_can_link(spark):
+    """Two long texts under one id, each with a near copy of its own."""
+    rng, rows = random.Random(9), []
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    for k in range(20):
+        one, two = [word() for _ in range(150)], [word() for _ in range(150)]
+        near = lambda t: " ".join([*t[:70], "odd", *t[71:]])
+        rows += [(10 * k + 5, " ".join(one), 0, 0), (10 * k + 5, " ".join(two), 0, 0), (10 * k + 6, near(one), 0, 0), (10 * k + 3, near(two), 0, 0)]
+    out = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()}
+    assert out == {(10 * k + d, 10 * k + 3) for k in range(20) for d in (3, 5, 6)}
+    with pytest.raises(TypeError):
+        minhash.near_duplicates(spark, spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
 def test_bins_keep_their_least_and_borrow():
     rng = np.random.default_rng(0)
     sets = np.unique(rng.integers(0, 2**63, 3000, dtype=np.uint64) * np.uint64(2))
