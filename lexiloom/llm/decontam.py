@@ -8,11 +8,13 @@ sides must share: document words are joined with the windows filed under that
 token. Where it stands in the window fixes where the window would begin
 (positional bound), which leaves only starts with enough words on both sides
 inside the document (length bound); the window's words are then compared one by
-one. Words are compared as 64-bit hashes.
+one. Words are compared as 64-bit hashes: a window that is not there would have to
+agree with one in all of its words' hashes.
 
 The benchmark side is taken in blocks of at most BLOCK_WORDS words, each
 broadcast on its own, so that a worker's memory does not grow with the
-benchmark; the corpus is read once a block to count and once to join.
+benchmark; the corpus is read once a block to count and once to join. Of further
+blocks only documents with hits leave a task.
 
 Edge cases. Null or empty text has no words, and such an item no window. Null
 doc_id is kept as it is; a null item_id stands as ``null``. Items of one id are
@@ -22,6 +24,8 @@ empty result. Columns other than doc_id, item_id and text are not looked at.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +33,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm import textkernel as tk
 from lexiloom.llm.scratch import Scratch
+from lexiloom.llm.spread import left_join_grouped
 
 WINDOW = 10
 #: A block ends with the item that brings it to this many words.
@@ -146,7 +151,7 @@ def _merge(begin: np.ndarray, end: np.ndarray) -> list[dict]:
 _SPANS = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
 
 
-def _join(shared):
+def _join(shared, whole: bool = False):
     def run(batches):
         block = shared.value
         for batch in batches:
@@ -168,8 +173,8 @@ def _join(shared):
                     else:
                         spans.append([])
                         items.append([])
-            kept = [batch.column(c) for c in batch.schema.names if c != "text"]
-            names = [c for c in batch.schema.names if c != "text"]
+            names = [c for c in batch.schema.names if whole or c != "text"]
+            kept = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sizes, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], [*names, "n_words", "spans", "items"])
 
     return run
@@ -195,43 +200,52 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, lambda a, x: F.struct(F.greatest(a["upto"], x["e"]).alias("upto"), (a["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(a["upto"], x["s"]))).alias("n")))["n"]
 
 
-def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, spans (word positions, merged and in order) and items, sorted, for each row of ``docs``."""
-    texts = docs.select(F.col("doc_id"), "text")
-    keyed = texts.withColumn("_key", F.sha2(F.coalesce("text", F.lit("")), 256))
+def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_words: int = BLOCK_WORDS, whole: bool = False) -> DataFrame:
+    """doc_id, n_words, n_hit, spans (word positions, merged and in order) and items, sorted, for each row of ``docs``; if ``whole``, after all its columns."""
+    if taken := {"n_words", "n_hit", "spans", "items"} & set(docs.columns if whole else ()):
+        raise ValueError(f"columns in the way: {sorted(taken)}")
+    texts = docs if whole else docs.select("doc_id", "text")
+    kept = [f for f in texts.schema if whole or f.name != "text"]
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     schema = "n_words long, spans array<struct<s:long,e:long>>, items array<string>"
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    out, several, scratch = None, [], Scratch(spark, "decontam")
-    for k, block in enumerate(_blocks(benchmark, size, block_words)):
-        shared = spark.sparkContext.broadcast(block.vocabulary)
-        held = np.zeros(len(block.vocabulary), np.int64)
-        counts = texts.select("text").mapInArrow(tk.lean(_held(shared)), "token long, held long").groupBy("token").agg(F.sum("held").alias("held"))
-        for r in counts.collect():  # a row at most for each word of the block
-            held[r["token"]] = r["held"]
-        block.order(held)
-        joined = spark.sparkContext.broadcast(block)
-        if k == 0:
-            out = texts.mapInArrow(tk.lean(_join(joined)), f"doc_id {kind}, {schema}")
-            first = (keyed, joined)
+    blocks = _blocks(benchmark, size, block_words)
+    first, second = next(blocks, None), next(blocks, None)
+
+    def ready(block: Block):
+        if len(block.vocabulary):
+            shared = spark.sparkContext.broadcast(block.vocabulary)
+            held = np.zeros(len(block.vocabulary), np.int64)
+            counts = texts.select("text").mapInArrow(tk.lean(_held(shared)), "token long, held long").groupBy("token").agg(F.sum("held").alias("held"))
+            for r in counts.collect():  # a row at most for each word of the block
+                held[r["token"]] = r["held"]
+            shared.unpersist()
+            block.order(held)
         else:
-            if k == 1:
-                several.append(scratch.write(first[0].mapInArrow(tk.lean(_join(first[1])), f"doc_id {kind}, _key string, {schema}").filter("size(items) > 0"), "block0"))
-            several.append(scratch.write(keyed.mapInArrow(tk.lean(_join(joined)), f"doc_id {kind}, _key string, {schema}").filter("size(items) > 0"), f"block{k}"))
-            joined.unpersist()
-    if out is None:
-        empty = Block([], size)
-        empty.order(np.zeros(0, np.int64))
-        out = texts.mapInArrow(tk.lean(_join(spark.sparkContext.broadcast(empty))), f"doc_id {kind}, {schema}")
-    if several:
-        # A text's result is the same wherever it stands, so that repeated rows join as one.
-        hits = several[0]
-        for more in several[1:]:
-            hits = hits.unionByName(more)
-        hits = hits.select("_key", "spans", "items").distinct().groupBy("_key").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        none = F.array().cast("array<struct<s:bigint,e:bigint>>")
-        sized = first[0].mapInArrow(tk.lean(_join(first[1])), f"doc_id {kind}, _key string, {schema}").drop("spans", "items").join(hits, "_key", "left")
-        out = sized.select("doc_id", "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-    return out.withColumn("n_hit", _covered(F.col("spans")))
+            block.order(np.zeros(0, np.int64))
+        return spark.sparkContext.broadcast(block)
+
+    joined = ready(first or Block([], size))
+    if second is None:
+        out = texts.mapInArrow(tk.lean(_join(joined, whole)), f"{kind}, {schema}")
+        return out.withColumn("n_hit", _covered(F.col("spans")))
+    # A text's hits are the same wherever it stands: the texts' hashes join the blocks.
+    scratch = Scratch(spark, "decontam")
+    keyed = texts.withColumn("_key", F.sha2(F.coalesce("text", F.lit("")), 256))
+    rows = scratch.write(keyed.mapInArrow(tk.lean(_join(joined, whole)), f"{kind}, _key string, {schema}"), "block0")
+    several, k = None, 1
+    for block in chain([second], blocks):
+        joined = ready(block)
+        hits = scratch.write(keyed.select("_key", "text").mapInArrow(tk.lean(_join(joined)), f"_key string, {schema}").filter("size(items) > 0").select("_key", "spans", "items").distinct(), f"block{k}")
+        several, k = hits if several is None else several.unionByName(hits), k + 1
+        joined.unpersist()
+    # One row a text and block with a hit; how often a text occurs is counted for those alone.
+    more = several.groupBy("_key").agg(F.flatten(F.collect_list("spans")).alias("_spans"), F.flatten(F.collect_list("items")).alias("_items"))
+    times = rows.join(more.select("_key"), "_key", "left_semi").groupBy("_key").agg(F.count(F.lit(1)).alias("_times"))
+    out = left_join_grouped(rows, more.join(times, "_key"), ["_key"], "_times", rows.count())
+    none = F.array().cast("array<struct<s:bigint,e:bigint>>")
+    spans = F.sort_array(F.concat("spans", F.coalesce("_spans", none)))
+    items = F.array_sort(F.array_distinct(F.concat("items", F.coalesce("_items", F.array().cast("array<string>")))))
+    return out.select(*[f.name for f in kept], "n_words", spans.alias("spans"), items.alias("items")).withColumn("n_hit", _covered(F.col("spans")))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

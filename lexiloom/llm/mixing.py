@@ -13,9 +13,12 @@ time serve for the global order in the same way.
 
 Edge cases. Null or empty text: size 0, never queued, nothing taken. Null source:
 a source of its own, last in order. Null doc_id: its hash is that of an empty
-string. Repeated rows: each counts; ties are broken by doc_id and size, beyond
-which rows are alike. Empty table: empty result. Other columns are kept as they
-are by :func:`mix`; their names may be any but those starting with ``_``.
+string. Repeated rows: each counts; rows alike in doc_id, source and size are
+numbered as soon as LIKE_ROWS of them are, and the number goes into the hash, so
+that they spread over all buckets; which of them has which number does not matter.
+Other ties are broken by doc_id and size, beyond which rows are alike. A doc_id may
+be of any type that has a text. Empty table: empty result. Other columns are kept
+as they are by :func:`mix`; their names may be any but those starting with ``_``.
 """
 
 from __future__ import annotations
@@ -24,13 +27,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm.scratch import Scratch
-from lexiloom.llm.spread import bucket_offsets, left_join_grouped, words_of
+from lexiloom.llm.spread import bucket_offsets, heavy_groups, heavy_threshold, left_join_grouped, numbered, words_of
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 MOST_COPIES = 2
 #: Expected rows of a bucket inside which a window sorts.
 BUCKET_ROWS = 4096
+#: So many rows alike in doc_id, source and size are spread by a number of their own.
+LIKE_ROWS = 256
 
 
 def source_targets(sources: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int = MOST_COPIES) -> DataFrame:
@@ -59,6 +64,18 @@ def _shuffled(seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
 
 
+def _told_apart(scratch: Scratch, sized: DataFrame) -> DataFrame:
+    """``sized`` with other hashes for rows that LIKE_ROWS and more share all keys of the order with."""
+    key = ["_null", "_src", "_h", "size"]
+    like = scratch.write(heavy_groups(sized.filter("size > 0"), key, 0, LIKE_ROWS).drop("_count"), "like")
+    if like.isEmpty():
+        return sized
+    some = scratch.write(numbered(sized.join(like, key, "left_semi"), key, "_nth"), "alike")
+    other = F.md5(F.concat_ws(":", "_h", F.col("_nth").cast("string")).cast("binary"))
+    rest = sized.join(like, key, "left_anti")
+    return scratch.write(rest.unionByName(some.withColumn("_h", F.when(F.col("_nth") > 0, other).otherwise(F.col("_h"))).drop("_nth")), "apart")
+
+
 def schedule(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int = MOST_COPIES, seed: int = 3) -> tuple[DataFrame, DataFrame]:
     """``(sized, queue)``: every row with its size and its source's target, and the queue with its cut.
 
@@ -77,6 +94,7 @@ def schedule(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, budget: floa
     sources = scratch.write(source_targets(sources, weights, budget, most), "sources")
     bound = sources.agg(F.sum("source_size").alias("words"), F.sum("_rows").alias("rows")).first()
     total, rows = int(bound["words"] or 0), int(bound["rows"] or 0)
+    sized = _told_apart(scratch, sized)
 
     sources = sources.withColumn("_parts", F.ceil(F.col("_rows") / BUCKET_ROWS).cast("long"))
     sized = left_join_grouped(sized, sources, ["_null", "_src"], "_rows", rows)
@@ -114,20 +132,28 @@ def mix(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     Rows alike in doc_id, source and size share what was taken of them in any order.
     """
     same = ["_none", "_doc", "_null", "_src", "_size"]
+    scratch = Scratch(spark, "mixed")
 
     def keyed(rows: DataFrame, size: Column) -> DataFrame:
         return rows.withColumns({
-            "_none": F.col("doc_id").isNull(), "_doc": F.coalesce(F.col("doc_id"), F.lit(0)).cast("long"),
+            "_none": F.col("doc_id").isNull(), "_doc": F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
             "_null": F.col("source").isNull(), "_src": F.coalesce(F.col("source"), F.lit("")), "_size": size,
         })
 
     # Rows and copies of a key; the join leaves rows where the window wants them, so that texts move once.
     whole = keyed(taken(spark, docs, **how), F.col("size")).groupBy(*same).agg(F.count(F.lit(1)).alias("_rows"), F.sum("copies").alias("_all")).filter("_all > 0")
-    rows = keyed(docs, words_of(F.col("text"))).join(whole, same)
-    nth = F.row_number().over(Window.partitionBy(*same).orderBy("_size"))
-    copies = F.floor(F.col("_all") / F.col("_rows")) + (nth <= F.col("_all") % F.col("_rows")).cast("long")
-    rows = rows.withColumn("_copies", copies).filter("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    whole = scratch.write(whole, "keys")
+    limit = heavy_threshold(int(whole.agg(F.sum("_rows")).first()[0] or 0))
+    hot, rows = whole.filter(F.col("_rows") >= limit), keyed(docs, words_of(F.col("text")))
+    few = rows.join(whole.filter(F.col("_rows") < limit), same)
+    few = few.withColumn("_nth", F.row_number().over(Window.partitionBy(*same).orderBy("_size")) - 1)
+    if not hot.isEmpty():
+        # Keys with a thousandth of all rows, HEAVY_SHARE at most: their rows are written and numbered task by task.
+        many = rows.join(F.broadcast(hot), same).withColumn("_row", F.monotonically_increasing_id())
+        few = few.unionByName(numbered(scratch.write(many, "hot"), same, "_nth").drop("_row"))
+    copies = F.floor(F.col("_all") / F.col("_rows")) + (F.col("_nth") < F.col("_all") % F.col("_rows")).cast("long")
+    picked = few.withColumn("_copies", copies).filter("_copies > 0")
+    return picked.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

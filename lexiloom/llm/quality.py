@@ -14,8 +14,8 @@ labels, lang, source and doc_id are no inputs.
 
 Edge cases. Null or empty text: all statistics 0, and scored as such. Null
 doc_id: held out. Several labels of a doc_id: their mean decides, 0.5 and more
-being 1; null labels do not count. Rows that share a labelled doc_id: one of them
-is learned from. No labels, or none of one kind: every score is the share of 1
+being 1; null labels do not count. Rows that share a labelled doc_id: one of them,
+that of the least statistics, is learned from. No labels, or none of one kind: every score is the share of 1
 (0.5 without labels). Empty table: empty result. Other columns are not looked at.
 """
 
@@ -166,11 +166,11 @@ def _features(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), lists], ["doc_id", "label", "x"])
 
 
-def _scorer(model):
+def _scorer(model, whole: bool):
     def run(batches):
         trees = model.value
         for batch in batches:
-            kept = [c for c in batch.schema.names if c != "text"]
+            kept = [c for c in batch.schema.names if whole or c != "text"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(trees.score(statistics_of(batch.column("text"))))], [*kept, "score"])
 
     return run
@@ -187,15 +187,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     some = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # ``sample`` ids at most
     kind = docs.schema["doc_id"].dataType.simpleString()
-    fitted = rows.mapInArrow(tk.lean(_features), f"doc_id {kind}, label int, x array<float>").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    fitted = rows.mapInArrow(tk.lean(_features), f"doc_id {kind}, label int, x array<float>").groupBy("doc_id").agg(F.min(F.struct("label", "x")).alias("f")).select("doc_id", "f.*").orderBy("doc_id").toArrow()
     x = np.asarray(fitted.column("x").combine_chunks().flatten(), np.float32).reshape(-1, len(FEATURES))
     return fit(x, np.asarray(fitted.column("label"), np.float64))
 
 
-def score(spark: SparkSession, docs: DataFrame, model: Trees) -> DataFrame:
-    """doc_id and score for each row of ``docs``; the model has a fixed size."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(tk.lean(_scorer(spark.sparkContext.broadcast(model))), f"doc_id {kind}, score double")
+def score(spark: SparkSession, docs: DataFrame, model: Trees, whole: bool = False) -> DataFrame:
+    """doc_id and score for each row of ``docs``, or all its columns and score; the model has a fixed size."""
+    rows = docs if whole else docs.select("doc_id", "text")
+    if "score" in rows.columns:
+        raise ValueError("a column in the way: score")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if whole or f.name != "text")
+    return rows.mapInArrow(tk.lean(_scorer(spark.sparkContext.broadcast(model), whole)), f"{kept}, score double")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

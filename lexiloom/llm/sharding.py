@@ -14,11 +14,13 @@ point or fills a shard. Ranks at a point come from counts over ranges of the rin
 and a window inside each range, which has a known expected size.
 
 Edge cases. Null text: size 8, checksum 0. Null doc_id: hashed with the checksum
-alone. Repeated rows are alike in all keys and share what they get in any order;
-copies of a text have positions of their own, so that a hot group spreads.
+alone. Rows alike in doc_id and text share what they get in any order, and a thousandth of
+all rows or more that are alike are numbered and placed by that number too; copies
+of a text have positions of their own, so that a hot group spreads.
 Fewer rows than shards: some shards stay empty. Empty table: empty result. All
 columns are kept by :func:`shard`; their names may be any but those starting
-with ``_`` and the names of the columns it adds.
+with ``_`` and those of the columns it adds (size, text_crc32, shard, slot), which
+raise. A doc_id may be of any type that can be hashed.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm.scratch import Scratch
-from lexiloom.llm.spread import bucket_offsets
+from lexiloom.llm.spread import bucket_offsets, heavy_groups, numbered
 
 SHARDS = 24
 VIRTUAL = 128
@@ -74,18 +76,30 @@ def flow(at: dict[int, int], owners: list[int], loads: list[int]) -> list[dict]:
 
 def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL) -> DataFrame:
     """``docs`` with size, text_crc32, shard and slot (0, 1, 2 ... in each shard)."""
+    if taken := {"size", "text_crc32", "shard", "slot"} & set(docs.columns):
+        raise ValueError(f"columns in the way: {sorted(taken)}")
     scratch = Scratch(spark, "shard")
     points = scratch.write(ring(spark, shards, virtual), "ring")
     lookup = F.broadcast(scratch.write(cells(spark, points), "cells"))  # 2^CELL_BITS rows, whatever the input
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32")
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size")
-    place = F.shiftrightunsigned(F.xxhash64(F.lit("row"), F.col("doc_id"), F.col("text_crc32")), 1)
-    placed = docs.select("*", size, crc).withColumn("_place", place)
+    whole = docs.select("*", size, crc).withColumn("_none", F.col("doc_id").isNull()).withColumn("_id", F.xxhash64("doc_id"))
+    total = docs.count()
+    alike = ["_none", "_id", "text_crc32"]
+    hot = scratch.write(heavy_groups(whole, alike, total).drop("_count"), "alike")
+    same = F.xxhash64(F.lit("row"), F.col("doc_id"), F.col("text_crc32"))
+    placed = whole.withColumn("_nth", F.lit(0).cast("long"))
+    if not hot.isEmpty():
+        # HEAVY_SHARE groups at most; only their rows are written, so that their numbers hold.
+        some = whole.join(F.broadcast(hot), alike, "left_semi").withColumn("_row", F.monotonically_increasing_id())
+        some = numbered(scratch.write(some, "hot"), alike, "_nth").drop("_row")
+        placed = placed.join(F.broadcast(hot), alike, "left_anti").unionByName(some)
+    place = F.shiftrightunsigned(F.when(F.col("_nth") > 0, F.xxhash64(same, "_nth")).otherwise(same), 1)
+    placed = placed.withColumn("_place", place).drop("_nth", "_none", "_id")
     placed = placed.withColumn("_cell", F.shiftright("_place", BITS - CELL_BITS)).join(lookup, "_cell")
     arc = (F.col("_base") + F.size(F.filter("_points", lambda p: p < F.col("_place")))) % F.lit(shards * virtual)
     placed = placed.withColumn("_arc", arc.cast("int")).drop("_cell", "_base", "_points")
 
-    total = docs.count()
     bits = min(max(0, (total // RANGE_ROWS).bit_length()), 32)
     placed = placed.withColumn("_range", F.shiftright("_place", BITS - bits))
     sums = scratch.write(placed.groupBy("_arc", "_range").agg(F.count(F.lit(1)).alias("_n")), "counts")
@@ -93,14 +107,14 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, virtual: i
     owners = [r["_owner"] for r in points.orderBy("_arc").select("_owner").collect()]
     runs = flow(at, owners, [total // shards + (s < total % shards) for s in range(shards)])
     plan = F.from_json(F.lit(json.dumps(runs)), "array<struct<arc:int,lo:bigint,hi:bigint,shard:int,first:bigint>>")
-    plan = spark.range(1).select(F.inline(plan)).withColumnRenamed("arc", "_arc").withColumnRenamed("shard", "_shard")
+    plan = spark.range(1).select(F.inline(plan)).toDF("_arc", "_lo", "_hi", "_shard", "_first")
 
     # The arc over the ring's end holds positions of both ends; the high ones come after the low ones, as ranks only need one order.
     offsets = bucket_offsets(sums, ["_arc"], "_range", "_n", "_off").drop("_n")
-    inner = Window.partitionBy("_arc", "_range").orderBy("_place", "doc_id", "text_crc32", "size")
+    inner = Window.partitionBy("_arc", "_range").orderBy("_place", "text_crc32", "size")
     ranked = placed.join(offsets, ["_arc", "_range"]).withColumn("_rank", F.col("_off") + F.row_number().over(inner) - 1)
-    out = ranked.join(F.broadcast(plan), "_arc").filter("_rank >= lo AND _rank < hi")
-    return out.select(*docs.columns, "size", "text_crc32", F.col("_shard").alias("shard"), (F.col("first") + F.col("_rank") - F.col("lo")).alias("slot"))
+    out = ranked.join(F.broadcast(plan), "_arc").filter("_rank >= _lo AND _rank < _hi")
+    return out.select(*docs.columns, "size", "text_crc32", F.col("_shard").alias("shard"), (F.col("_first") + F.col("_rank") - F.col("_lo")).alias("slot"))
 
 
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:

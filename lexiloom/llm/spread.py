@@ -48,6 +48,25 @@ def bucket_offsets(sums: DataFrame, group: list[str], bucket: str, value: str, o
     return wide.join(tops, [*group, "_super"]).withColumn(out, F.col("_top") + F.col("_low")).drop("_super", "_top", "_low")
 
 
+def heavy_groups(rows: DataFrame, keys: list[str], total: int, least: int | None = None) -> DataFrame:
+    """The keys that at least ``least`` of ``rows`` have (by default a thousandth of ``total``), with their _count."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_count"))
+    return counts.filter(F.col("_count") >= (heavy_threshold(total) if least is None else least))
+
+
+def numbered(rows: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """``rows`` with their number, from 0 without gaps, among those of one key, however many these are.
+
+    ``rows`` must have been written, with _row = monotonically_increasing_id(): its
+    high bits tell the task that wrote a row, so that a window sees the rows of one
+    key in one such task, and another one row a task. Keys must not be null.
+    """
+    rows = rows.withColumn("_task", F.shiftright("_row", 33))
+    starts = bucket_offsets(rows.groupBy(*keys, "_task").agg(F.count(F.lit(1)).alias("_n")), keys, "_task", "_n", "_before").drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*keys, "_task").orderBy("_row")) - 1
+    return rows.withColumn(out, inside).join(starts, [*keys, "_task"]).withColumn(out, (F.col("_before") + F.col(out)).cast("long")).drop("_task", "_before")
+
+
 def words_of(text: Column) -> Column:
     """How many runs of bytes other than space, tab, LF, VT, FF and CR; null counts none."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

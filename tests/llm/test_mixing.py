@@ -1,5 +1,7 @@
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from lexiloom.llm import mixing
 
 SCHEMA = "doc_id long, text string, source string, n_chars long"
@@ -56,3 +58,20 @@ def test_empty(spark):
     assert mixing.mix(spark, docs).count() == 0
     only_empty = spark.createDataFrame([(1, None, None, 0), (2, " ", "x", 0)], SCHEMA)
     assert {(r["doc_id"], r["size"], r["copies"]) for r in mixing.taken(spark, only_empty).collect()} == {(1, 0, 0), (2, 0, 0)}
+
+
+def test_half_of_the_rows_without_an_id(spark):
+    """Rows alike in all keys share what is taken, spread over all buckets; copies come out whole."""
+    rows = [(None, "a b c", "s0", 1)] * 12_000 + [(i, "w " * (1 + i % 9), f"s{i % 3}", 1) for i in range(12_000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    took = mixing.taken(spark, docs)
+    by = {(r["source"], r["target"]): r["w"] for r in took.groupBy("source", "target").agg(F.sum(F.col("size") * F.col("copies")).alias("w")).collect()}
+    assert all(abs(w - t) <= 0.01 * t + 20 for (_, t), w in by.items())
+    sized, queue = mixing.schedule(spark, docs)
+    assert queue.groupBy("_h").count().agg(F.max("count")).first()[0] <= 2 * mixing.LIKE_ROWS
+    out = mixing.mix(spark, docs)
+    assert out.columns == docs.columns
+    count = lambda d, c: sorted((r["doc_id"] or -1, r["n"]) for r in d.groupBy("doc_id").agg(c.alias("n")).filter("n > 0").collect())
+    assert count(out, F.count("*")) == count(took, F.sum("copies"))
+    names = spark.createDataFrame([("a", "x y", "s"), ("b", "x y", "s")], "doc_id string, text string, source string")
+    assert mixing.mix(spark, names).count() == 3

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lexiloom.llm import minhash, quality, queries
 
@@ -21,7 +23,7 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert max(counts) - min(counts) <= 1
     # Brute force of the second stage: what is left has no near copies, and nothing alone is gone.
     before, after = (spark.read.parquet(f"{tmp_path}/{k}") for k in (0, 1))
-    groups = minhash.near_duplicates(spark, before).filter("kept").count()
+    groups = minhash.near_duplicates(spark, before, similar=corpus_pipeline.SIMILAR).filter("kept").count()
     assert after.count() == groups
     scored = quality.score(spark, first, quality.train(first, spark.read.parquet(f"{SF}/labels.parquet")))
     assert scored.filter(f"score >= {quality.ACCEPT}").count() == rows[0]
@@ -43,6 +45,19 @@ def test_repeated_and_null_rows_survive_the_filters(spark):
     assert out.count() == 5 and out.columns == docs.columns
 
 
+def test_rows_are_judged_by_themselves(spark):
+    """Rows without a doc_id, or of one doc_id, stay or go by their own texts."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    clean = [" ".join(f"{a}{k}" for k in range(40)) for a in "xyz"]
+    rows = [(1, item, "e", "s", 1), (1, clean[0], "e", "s", 1), (None, item, "e", "s", 1), (None, clean[1], "e", "s", 1), (None, clean[1], "e", "s", 1), (2, clean[1], "e", "s", 1), (3, clean[2], "e", None, 1), (3, clean[0], "e", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("_lo", F.lit(1)).withColumnsRenamed({"_lo": "size_"})
+    out = corpus_pipeline.decontamination_stage(spark, docs, SF)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out.collect()) == sorted((r[0] or 0, r[1]) for r in rows if r[1] != item)
+    out = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out.collect()) == sorted([(1, item), (1, clean[0]), (2, clean[1]), (3, clean[2])])
+    assert corpus_pipeline.quality_stage(spark, docs, SF).columns == docs.columns
+
+
 def test_every_query_is_registered():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)] + ["pipeline"]

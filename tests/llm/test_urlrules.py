@@ -1,4 +1,8 @@
+import random
 import re
+from itertools import combinations
+
+from pyspark.sql import functions as F
 
 from lexiloom.llm import urlrules
 
@@ -40,3 +44,40 @@ def test_mined_rules_match_by_their_tokens(spark):
 def test_pruning_keeps_the_shortest(spark):
     rules = spark.createDataFrame([(["a"], 0.9, 0.1), (["a", "b"], 0.9, 0.1), (["b", "c"], 0.8, 0.1), (["b", "c", "d"], 0.95, 0.1), (["a", "c"], 0.99, 0.1)], "rule array<string>, confidence double, support double")
     assert sorted(r["rule"] for r in urlrules.pruned(rules).collect()) == [["a"], ["a", "c"], ["b", "c"], ["b", "c", "d"]]
+
+
+def test_rules_match_brute_force(spark):
+    """All token sets of the labelled urls, counted one by one, pruned, and matched by inclusion."""
+    rng, rows, labels = random.Random(2), [], []
+    for k in range(240):
+        host, first = rng.choice(["a.com", "b.com", "c.net"]), rng.choice(["en", "de", "es"])
+        rows.append((k, f"http://{host}/{first}/{rng.randrange(99)}", "", ""))
+        if k % 2:
+            labels.append((k, rng.random() < (0.95 if (host, first) in {("a.com", "en"), ("c.net", "es")} else 0.1)))
+    fixed = (("b.com", "/de/", "block"), ("c.net", "/en/", "allow"))
+    urls, marks = spark.createDataFrame(rows, URLS), spark.createDataFrame(labels, "id long, bad boolean")
+    host, path = urlrules.host_and_path(F.col("url"))
+    tokens = {r["id"]: frozenset(r["t"]) for r in urls.select("id", urlrules.url_tokens(host, path, F.col("url")).alias("t")).collect()}
+    rule = {r[0]: judged(r[1], fixed)[3] for r in rows}
+    mark = dict(labels)
+    known = {k: bool(mark.get(k)) or rule[k] == "block" for k in tokens if k in mark or rule[k]}
+    least = max(urlrules.SUPPORT * len(known), urlrules.LEAST_URLS)
+    every = {frozenset(c) for k in known for n in range(1, len(tokens[k]) + 1) for c in combinations(sorted(tokens[k]), n)}
+    share = {}
+    for c in every:
+        of = [known[k] for k in known if c <= tokens[k]]
+        if sum(of) >= least and sum(of) >= urlrules.CONFIDENCE * len(of):
+            share[c] = sum(of) / len(of)
+    kept = [c for c in share if not any(d < c and share[d] >= share[c] for d in share)]
+    assert kept
+    want = {k: rule[k] or ("block" if any(c <= tokens[k] for c in kept) else "allow") for k in tokens}
+    out = urlrules.judge(spark, urls, marks, fixed).collect()
+    assert {r["id"]: r["verdict"] for r in out} == want
+    assert {r["id"] for r in out if r["mined"]} == {k for k in tokens if any(c <= tokens[k] for c in kept)}
+
+
+def test_very_long_urls_and_other_columns(spark):
+    rows = [(1, "http://h.com/en/" + "a/" * 500_000 + "?" + "q" * 100_000, "x"), (2, "http://" + "s." * 50_000 + "com/en/", "y")]
+    urls = spark.createDataFrame(rows, "id long, url string, tokens string").withColumns({"bad": F.lit(1), "key": F.lit(2), "fixed": F.lit(3), "mined": F.lit(4)})
+    out = {r["id"]: (r["rule"], r["verdict"], len(r["path"])) for r in urlrules.judge(spark, urls, spark.createDataFrame([], "id long, bad boolean")).collect()}
+    assert out == {1: ("com/en/", "block", 4 + 1_000_000), 2: ("com/en/", "block", 4)}
