@@ -1,8 +1,9 @@
 """A corpus, from raw documents to shards: five stages, each on what the one before kept.
 
 Every stage is written as Parquet and read again, so that none depends on the
-lineage of another. A filtering stage joins its decisions back to the documents;
-rows without a doc_id have no decision to join and stay.
+lineage of another. Each row is judged by itself, whatever its doc_id: verdicts of
+the classifier and of decontamination are filters on the row that was read, and the
+near-duplicate stage numbers its rows.
 """
 
 from __future__ import annotations
@@ -23,32 +24,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose doc_id is in ``bad``; null doc_ids match nothing."""
-    return docs.join(bad.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier of ``labels.quality`` accepts."""
-    scored = quality.score(spark, docs, quality.train(docs, _table(spark, sf_dir, "labels")))
-    return _without(docs, scored.filter(F.col("score") < quality.ACCEPT))
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    return quality.score(spark, docs, model, whole=True).filter(F.col("score") >= quality.ACCEPT).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group at a similarity of 0.8; of rows with one doc_id, one."""
-    found = Scratch(spark, "groups").write(minhash.near_duplicates(spark, docs, similar=SIMILAR), "found")
-    left = _without(docs, found.filter(~F.col("kept")))
-    twice = found.filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    if twice.isEmpty():
-        return left
-    again = left.join(twice.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _without(left, twice).unionByName(again.select(*docs.columns))
+    """Of each group at a similarity of 0.8 the row of the smallest doc_id, null last; of rows alike, one."""
+    scratch = Scratch(spark, "groups")
+    rows = scratch.write(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = minhash.near_duplicates(spark, rows.select(F.col("_row").alias("doc_id"), "text"), similar=SIMILAR)
+    ids = rows.select("_row", "doc_id")
+    group = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")).join(ids, "_row")
+    first = group.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("f")).select("f._row")
+    return rows.join(scratch.write(first, "first"), "_row", "left_semi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    found = decontam.contamination(spark, docs, _table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.filter("n_hit > 0"))
+    return decontam.contamination(spark, docs, _table(spark, sf_dir, "benchmark"), whole=True).filter("n_hit = 0").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
