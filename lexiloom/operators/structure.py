@@ -159,10 +159,10 @@ def replicate_summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame
     return rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.max(value).alias("worst"), F.count(F.lit(1)).alias("replicates"))
 
 
-def contrast_verdicts(real: DataFrame, null: DataFrame, least: int = policy.USABLE_PAGE_PAIRS) -> DataFrame:
-    """Whether each bucket of ``real`` is usable and exceeds the mean and the worst of the ``null`` replicates (lo, hi, replicate, contrast)."""
-    spread = null.groupBy("lo", "hi").agg(F.avg("contrast").alias("null_mean"), F.min("contrast").alias("null_min"), F.max("contrast").alias("null_max"))
-    rows = real.join(spread, ["lo", "hi"], "left")
+def contrast_verdicts(real: DataFrame, null: DataFrame, least: int = policy.USABLE_PAGE_PAIRS, by: tuple[str, ...] = ()) -> DataFrame:
+    """Whether each bucket of ``real`` is usable and exceeds the mean and the worst of the ``null`` replicates (by, lo, hi, replicate, contrast)."""
+    spread = null.groupBy(*by, "lo", "hi").agg(F.avg("contrast").alias("null_mean"), F.min("contrast").alias("null_min"), F.max("contrast").alias("null_max"))
+    rows = real.join(spread, [*by, "lo", "hi"], "left")
     usable = (F.col("same_pairs") >= least) & (F.col("diff_pairs") >= least)
     return rows.withColumns({"usable": usable, "exceeds_mean": usable & (F.col("contrast") > F.col("null_mean")), "exceeds_max": usable & (F.col("contrast") > F.col("null_max")), "bracketed": usable & F.col("contrast").between(F.col("null_min"), F.col("null_max"))})
 

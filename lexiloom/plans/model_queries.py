@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from lexiloom.functions.prng import draws
 from lexiloom.operators import corpus, generators, inventories, stats, structure, verify
 from lexiloom.plans import reports
+from lexiloom.plans.relation_queries import _draw_sql
 from lexiloom.plans.stat_queries import _sql, rounded
 from lexiloom.plans.structure_queries import _context, _vectors
+from lexiloom.scratch import staged
 from lexiloom.sources.adapters import document_lines, relations, table
 
 _PARAMS = {"copyMode": "lines3", "editProb": 0.6, "secondEditProb": 0, "editSlot": "uniform", "inventorySource": "realFragments", "inventoryDepth": "full", "pFresh": 0.1, "pFunction": 0.25, "lexiconSize": 60, "pLineStartContent": 0.8, "pLineEndContent": 0.7}
@@ -58,36 +60,44 @@ def campaign_order(spark, sf):
     return reports.campaign_order(document_lines(spark, sf).select("page", "line_no", "section"), "section").select("page", "line_no", F.col("place").cast("long").alias("place"))
 
 
-def _small(spark, sf):
-    """One source: a corpus that the null models can fill."""
-    return _context(spark, sf)[1]
+def _lines(spark, sf):
+    return staged(document_lines(spark, sf).select("page", "section", "language", "line_no", "par_start", "words"), "lines")
 
 
 def null_contrast(spark, sf):
-    return rounded(reports.null_replicates(spark, _small(spark, sf), _PARAMS, 2))
+    """Contrast of sources in generated corpora, one in the layout of each language, by all replicates."""
+    return rounded(reports.null_replicates(spark, _lines(spark, sf), "language", _PARAMS))
 
 
 def shuffled_contrast(spark, sf):
-    return rounded(reports.shuffled_replicates(_small(spark, sf), 2))
+    """The same with the words of each language shuffled."""
+    return rounded(reports.shuffled_replicates(spark, _lines(spark, sf), "language"))
 
 
 def stock_lines(spark, sf):
-    made = reports.stock_replicates(spark, _small(spark, sf), "language", _PARAMS, 2)
-    return made.groupBy("corpus", "language").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.size("words")).alias("words"))
+    """Lines and words of all replicates of text generated apart for each language."""
+    made = reports.stock_replicates(spark, _lines(spark, sf), "language", _PARAMS)
+    return made.groupBy("replicate", "language").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.size("words")).cast("long").alias("words"))
+
+
+def campaign_similarity(spark, sf):
+    """Similarity by distance of pages whose lines were generated apart by language."""
+    return rounded(reports.campaign_null(spark, _lines(spark, sf), "language", _PARAMS))
 
 
 def structure_verdicts(spark, sf):
-    small = _small(spark, sf)
-    real = structure.section_contrast(structure.pages_of(small.withColumn("section", F.col("language"))))
-    return rounded(structure.contrast_verdicts(real, reports.shuffled_replicates(small.withColumn("section", F.col("language")), 2), 1))
+    """Whether the contrast of sources exceeds that of shuffled words, by language and bucket."""
+    lines = _lines(spark, sf)
+    real = structure.section_contrast(staged(structure.pages_of(lines, ["language"], ("section",)), "pages"), ["language"])
+    return rounded(structure.contrast_verdicts(real, reports.shuffled_replicates(spark, lines, "language"), by=("language",)))
 
 
 def search_marginals(spark, sf):
-    """A full small grid of the abjad family: marginals of one parameter."""
+    """The full grid of the abjad family by all replicates: marginals of one parameter."""
     ctx, layout = _context(spark, sf)
     reference = verify.vector(stats.signature(layout)).select("metric", "value")
-    found = generators.search(spark, generators.plan(spark, ["Abjad"], 10, 2), ctx, layout, reference, verify.scales(_vectors(spark, sf)))
-    return rounded(reports.diagnostics(found.persist(), generators.Abjad.space, "keepInitialVowel", "rechunk")["by rechunk"])
+    found = staged(generators.search(spark, generators.plan(spark, ["Abjad"]), ctx, layout, reference, verify.scales(_vectors(spark, sf))), "found")
+    return rounded(reports.diagnostics(found, generators.Abjad.space, "keepInitialVowel", "rechunk")["by rechunk"])
 
 
 def inventory_top(spark, sf):
@@ -133,12 +143,13 @@ FROM (SELECT *, coalesce(lag(i) OVER (PARTITION BY page, word ORDER BY i), -1) A
     "campaign_order": (campaign_order, _sql("SELECT page, line_no::INT AS line_no, row_number() OVER (ORDER BY first, page, line_no) - 1 AS place FROM (SELECT page, line_no, min(page * 100000 + line_no) OVER (PARTITION BY section) AS first FROM lines)")),
     "null_contrast": (null_contrast, None),
     "shuffled_contrast": (shuffled_contrast, None),
-    "stock_lines": (stock_lines, None),
+    "stock_lines": (stock_lines, _sql("SELECT r::INT AS replicate, language, count(*) AS lines, sum(len(words))::BIGINT AS words FROM lines, range(0, 5) w(r) WHERE len(words) > 0 GROUP BY ALL")),
+    "campaign_similarity": (campaign_similarity, None),
     "structure_verdicts": (structure_verdicts, None),
     "search_marginals": (search_marginals, None),
     "inventory_top": (inventory_top, "SELECT form, coalesce(n, 0) AS n, n IS NOT NULL AS present FROM (VALUES ('the'), ('der'), ('daiin')) v(form) LEFT JOIN (SELECT w AS form, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) GROUP BY 1) USING (form)"),
     "event_zipf": (event_zipf, """WITH r AS (SELECT log2(n) AS y, log2(row_number() OVER (ORDER BY n DESC, u)) AS x FROM (SELECT user_id::VARCHAR AS u, count(*) AS n FROM events GROUP BY 1) WHERE n >= 2)
 SELECT 'events' AS corpus, round(coalesce(regr_slope(y, x), 0), 6) AS zipf_slope, round(coalesce(regr_intercept(y, x), 0), 6) AS zipf_intercept, round(coalesce(regr_r2(y, x), 1), 6) AS zipf_r2, count(*) AS zipf_ranks FROM r"""),
     "top_types": (top_types, "SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, event_type LIMIT 3"),
-    "first_draws": (first_draws, None),
+    "first_draws": (first_draws, f"SELECT k, round({_draw_sql('408', 'k')}, 12) AS r FROM range(0, 100) t(k)"),
 }

@@ -161,6 +161,38 @@ def markup_pages(spark, sf):
     return parts["pages"].select(F.col("file").cast("long").alias("doc_id"), "name", "seq", "quire", "hand")
 
 
+def _decorated(spark, sf):
+    """Documents as files of one page that use all of the markup, by the place of the word in the line."""
+    docs = table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", F.split("text", "\n", -1).alias("l"))
+    name = F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit("r"))
+
+    def word(x, i):
+        forms = {1: ("[", ":zz]"), 2: ("{", "}"), 3: ("", "@123;"), 4: ("", "?")}
+        between = F.when(i == 0, "").when(i % 3 == 0, ".").when(i % 3 == 1, ",").otherwise("<->")
+        out = x
+        for k, (before, after) in forms.items():
+            out = F.when(i % 6 == k, F.concat(F.lit(before), x, F.lit(after))).otherwise(out)
+        return F.concat(between, out, F.when(i == 0, "<!a note>").otherwise(""))
+
+    words = lambda x: F.array_join(F.transform(F.regexp_extract_all(F.lower(x), F.lit("[a-z]+"), F.lit(0)), word), "")
+    line = lambda x, i: F.concat(F.lit("<"), name, F.lit("."), (i + 1).cast("string"), F.lit(",+P0> "), F.when(i % 4 == 0, "<%>").otherwise(""), F.when(i % 5 == 4, "<@H=7>").otherwise(""), words(x))
+    head = F.concat(F.lit("#=IVTFF Eva- 2.0 M 5\n<"), name, F.lit("> <! $I=T $H=3>\n"))
+    return docs.select(F.col("doc_id").cast("string").alias("file"), F.concat(head, F.array_join(F.transform("l", line), "\n")).alias("text"))
+
+
+def markup_flags(spark, sf):
+    """Tokens of documents with alternatives, ligatures, codes, unreadable glyphs, comments and three separators."""
+    t = markup.ingest(_decorated(spark, sf))["tokens"]
+    whole = [F.col(c).cast("long").alias(c) for c in ("num", "position", "glyph_count")]
+    return t.select(F.col("file").cast("long").alias("doc_id"), *whole, "form", "sep_before", "has_alternative", "has_ligature", "has_high_ascii", "has_unreadable")
+
+
+def markup_hands(spark, sf):
+    """Hands of loci, from the page or from the last tag above, and paragraph starts."""
+    loci = markup.ingest(_decorated(spark, sf))["loci"]
+    return loci.select(F.col("file").cast("long").alias("doc_id"), F.col("num").cast("long").alias("num"), "hand", "par_start", "par_end")
+
+
 def markup_errors(spark, sf):
     """Files whose first locus names another page: one fault each."""
     broken = _markup_files(spark, sf).withColumn("text", F.regexp_replace("text", r"<f([0-9]+)r\.1,", "<f$1v.1,"))
@@ -226,6 +258,24 @@ def _draw_sql(seed: str, k: str) -> str:
     return f"(SELECT (xor(t2, t2 >> 14) & {_MASK}) / 4294967296.0::DOUBLE FROM (SELECT {t2} AS t2 FROM (SELECT {t1} AS t1 FROM (SELECT {s0} AS s0))))"
 
 
+def _permuted_sql(groups: str, seed: str) -> str:
+    """CTEs that put the list f of each row of ``groups`` (g, f, n, start) in the seeded order: rows of ``done`` with g and f.
+
+    A list of n takes draws start to start + n - 2; each exchanges the last open place with one at or before it.
+    """
+    return f"""grp AS ({groups}),
+sw AS (SELECT g, last, floor({_draw_sql(seed, 'start + n - 1 - last')} * (last + 1))::BIGINT AS o FROM (SELECT g, n, start, unnest(range(1, n)) AS last FROM grp)),
+pm AS (SELECT g, f, n - 1 AS last FROM grp UNION ALL
+  SELECT pm.g, list_transform(range(1, len(f) + 1), lambda i: CASE WHEN i = pm.last + 1 THEN f[o + 1] WHEN i = o + 1 THEN f[pm.last + 1] ELSE f[i] END), pm.last - 1 FROM pm JOIN sw ON sw.g = pm.g AND sw.last = pm.last),
+done AS (SELECT g, f FROM pm WHERE last = 0)"""
+
+
+_HOLDOUT = "WITH RECURSIVE " + RELATIONS_SQL.strip() + """,
+lf AS (SELECT 'f' || (id // 2) AS folio, arg_min(coalesce(illustration_type, '?') || '/' || coalesce(currier_language, '?'), seq) AS stratum FROM p GROUP BY 1),
+st AS (SELECT stratum AS g, list(folio ORDER BY folio) AS f, count(*) AS n FROM lf GROUP BY stratum),
+""" + _permuted_sql("SELECT g, f, n, (sum(n - 1) OVER (ORDER BY g) - (n - 1))::BIGINT AS start FROM st", "408") + """,
+chosen AS (SELECT g AS stratum, unnest(f[1 : floor(len(f) * 0.15::DOUBLE + 0.5)::BIGINT]) AS folio FROM done)"""
+
 _LATIN = r"""
 lat AS (SELECT page_id, regexp_extract_all(strip_accents(replace(replace(lower(x), 'æ', 'ae'), 'œ', 'oe')), '[a-z]+') AS w FROM (
   SELECT page_id, replace(replace(replace(replace(CASE WHEN instr(h, '[1]') > 0 THEN substr(h, instr(h, '[1]')) ELSE h END, 'The Latin Library', ' '), 'The Classics Page', ' '), 'The Christian Latin Pages', ' '), 'Christian Latin', ' ') AS x FROM (
@@ -255,8 +305,8 @@ SELECT coalesce(a.word, b.word) AS word, CASE WHEN a.word IS NULL THEN 'second'
 FROM (SELECT word FROM top WHERE corpus = 'en') a FULL JOIN (SELECT word FROM top WHERE corpus = 'fr') b ON a.word = b.word"""),
     "working_by_folio": (working_by_folio, _r("SELECT id, name, 'f' || (id // 2) AS folio FROM p WHERE 'f' || (id // 2) NOT IN ('f1', 'f5', 'f9')")),
     "leaf_strata": (leaf_strata, _r("SELECT 'f' || (id // 2) AS folio, arg_min(coalesce(illustration_type, '?') || '/' || coalesce(currier_language, '?'), seq) AS stratum FROM p GROUP BY 1")),
-    "holdout_draw": (holdout_draw, None),
-    "held_pages": (held_pages, None),
+    "holdout_draw": (holdout_draw, _HOLDOUT + "\nSELECT stratum, folio FROM chosen"),
+    "held_pages": (held_pages, _HOLDOUT + "\nSELECT id, name, 'f' || (id // 2) AS folio FROM p WHERE 'f' || (id // 2) IN (SELECT folio FROM chosen)"),
     "random_draws": (random_draws, "SELECT doc_id, " + ", ".join(f"round({_draw_sql(str(s), 'doc_id')}, 12) AS r{s}" for s in (0, 408, 412, 4294967295)) + " FROM documents"),
     "weighted_picks": (weighted_picks, f"""WITH {LINES_SQL.strip()},
 c AS (SELECT glyph, sum(n) OVER (ORDER BY glyph) AS hi, sum(n) OVER () AS total FROM (SELECT glyph, sum(n) AS n FROM (SELECT unnest(string_split(word, '')) AS glyph, n FROM typ WHERE corpus = 'en') GROUP BY glyph)),
@@ -269,10 +319,18 @@ SELECT doc_id, arg_min(glyph, hi) AS glyph FROM d JOIN c ON hi > r * total::DOUB
   SELECT doc_id, num, (num % 3 = 1)::INT AS x, len(w) AS n, coalesce(list_sum(list_transform(w, lambda q: length(q))), 0)::BIGINT AS g FROM (
   SELECT doc_id, regexp_extract_all(lower(line), '[a-z]+') AS w, num FROM (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS num FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)))) WHERE n + x > 0"""),
     "markup_pages": (markup_pages, "SELECT doc_id, 'f' || doc_id || 'r' AS name, 0::BIGINT AS seq, 'A' AS quire, (doc_id % 3)::VARCHAR AS hand FROM documents"),
-    "markup_errors": (markup_errors, "SELECT doc_id, 4::BIGINT AS line, 'locus does not match the current page header' AS message FROM documents"),
+    "markup_flags": (markup_flags, """SELECT doc_id, num, i AS position, length(word) + (i % 6 IN (3, 4))::INT AS glyph_count, word || CASE i % 6 WHEN 3 THEN '@123;' WHEN 4 THEN '?' ELSE '' END AS form,
+  CASE WHEN i = 0 THEN NULL WHEN i % 3 = 0 THEN '.' WHEN i % 3 = 1 THEN ',' ELSE '-' END AS sep_before, i % 6 = 1 AS has_alternative, i % 6 = 2 AS has_ligature, i % 6 = 3 AS has_high_ascii, i % 6 = 4 AS has_unreadable
+FROM (SELECT doc_id, num, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM (SELECT doc_id, num, regexp_extract_all(lower(line), '[a-z]+') AS w
+FROM (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS num FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))))"""),
+    "markup_hands": (markup_hands, """SELECT doc_id, num, CASE WHEN num < 5 THEN '3' ELSE '7' END AS hand, num % 4 = 1 AS par_start, false AS par_end
+FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS num FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))"""),
+    "markup_errors": (markup_errors, "SELECT doc_id, 4::BIGINT AS line, 'the locus is of another page' AS message FROM documents"),
     "latin_words": (latin_words, f"WITH {_LATIN.strip()}\nSELECT page_id, coalesce(array_to_string(w, ' '), '') AS words FROM lat"),
     "latin_index": (latin_index, f"WITH {_LATIN.strip()}\nSELECT row_number() OVER (ORDER BY page_id, p) - 1 AS idx, word FROM (SELECT page_id, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM lat)"),
-    "enciphered": (enciphered, None),
+    "enciphered": (enciphered, "WITH RECURSIVE " + _LATIN.strip() + ", letters AS (SELECT list(DISTINCT c ORDER BY c) AS f FROM (SELECT unnest(string_split(word, '')) AS c FROM (SELECT unnest(w) AS word FROM lat))),\n"
+        + _permuted_sql("SELECT 0 AS g, f, len(f) AS n, 0 AS start FROM letters", "409")
+        + "\nSELECT row_number() OVER (ORDER BY page_id, p) - 1 AS idx, translate(word, (SELECT array_to_string(f, '') FROM letters), (SELECT array_to_string(f, '') FROM done)) AS word FROM (SELECT page_id, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM lat)"),
     "gibberish": (gibberish, f"""WITH {LINES_SQL.strip()}{_EN},
 gl AS (SELECT idx, unnest(string_split(word, '')) AS glyph, unnest(range(0, length(word))) AS i FROM ei),
 ix AS (SELECT idx, i, row_number() OVER (ORDER BY idx, i) - 1 AS k FROM gl),

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom import policy
 from lexiloom.functions.prng import Stream, permutation
 from lexiloom.operators import controls, corpus, generators, stats, structure, verify
+from lexiloom.scratch import staged
 
 Tables = dict[str, DataFrame]
 
@@ -85,48 +88,49 @@ def structure_report(lines: DataFrame, labels: DataFrame | None = None, shuffles
     return out
 
 
-def null_replicates(spark: SparkSession, lines: DataFrame, params: dict, replicates: int = policy.NULL_REPLICATES, seed: int = policy.CHAMPION_SEED, family: str = "Structured self-citation") -> DataFrame:
-    """Section contrast of ``replicates`` generated corpora in the layout of ``lines`` (lo, hi, replicate, contrast)."""
-    import json
+def _replicates(spark: SparkSession, family: str, params: dict, replicates: int, seed: int) -> DataFrame:
+    rows = [(family, json.dumps(params), r, seed + r) for r in range(replicates)]
+    return spark.createDataFrame(rows, "family string, params string, replicate int, seed long")
+
+
+def _contrasts(made: DataFrame, lines: DataFrame, key: str) -> DataFrame:
+    """Section contrast of each replicate of each value of ``key``: key, replicate, lo, hi and the numbers."""
+    sections = lines.select("page", "section").distinct()
+    pages = structure.pages_of(staged(made, "replicates").join(sections, "page"), [key, "replicate"], ("section",))
+    return structure.section_contrast(staged(pages, "replicate-pages"), [key, "replicate"])
+
 
-    rows = [(str(r), family, json.dumps(params), seed + r) for r in range(replicates)]
-    runs = spark.createDataFrame(rows, "corpus string, family string, params string, seed long").repartition(replicates, "corpus")
-    made = generators.generated(spark, runs, generators.context_of(lines, lines), lines)
-    sections = lines.select("page", "section", "language").distinct()
-    found = structure.section_contrast(structure.pages_of(made.join(sections, "page")))
-    return found.withColumnRenamed("corpus", "replicate")
+def null_replicates(spark: SparkSession, lines: DataFrame, key: str, params: dict, replicates: int = policy.NULL_REPLICATES, seed: int = policy.CHAMPION_SEED, family: str = "Structured self-citation") -> DataFrame:
+    """Section contrast of ``replicates`` generated corpora in the layout of the lines of each value of ``key``."""
+    return _contrasts(generators.generated_by(lines, key, _replicates(spark, family, params, replicates, seed)), lines, key)
 
 
-def shuffled_replicates(lines: DataFrame, replicates: int = policy.NULL_REPLICATES, seed: int = policy.SHUFFLED_SEED) -> DataFrame:
-    """The same for shuffled words."""
-    layout, words, out = controls.skeleton(lines), stats.indexed(lines).select("idx", "word"), None
-    sections = lines.select("page", "section", "language").distinct()
-    for r in range(replicates):
-        made = controls.pour(layout, controls.shuffled(words, seed + r), str(r))
-        out = made if out is None else out.unionByName(made)
-    return structure.section_contrast(structure.pages_of(out.join(sections, "page"))).withColumnRenamed("corpus", "replicate")
+def shuffled_replicates(spark: SparkSession, lines: DataFrame, key: str, replicates: int = policy.NULL_REPLICATES, seed: int = policy.SHUFFLED_SEED) -> DataFrame:
+    """The same for the words of each value of ``key``, shuffled."""
+    return _contrasts(generators.generated_by(lines, key, _replicates(spark, generators.SHUFFLED, {}, replicates, seed)), lines, key)
 
 
 def stock_replicates(spark: SparkSession, lines: DataFrame, key: str, params: dict, replicates: int = policy.NULL_REPLICATES, seed: int = policy.CAMPAIGN_SEED, stride: int = 100, family: str = "Structured self-citation") -> DataFrame:
-    """Lines generated apart for each value of ``key``, in order of first appearance, by ``replicates``."""
-    import json
-
-    keys = [r["k"] for r in lines.groupBy(F.col(key).alias("k")).agg(F.min("page").alias("p")).orderBy("p").collect()]  # a row a section or language
-    out = None
-    for group, value in enumerate(keys):
-        part = lines.filter(F.col(key).eqNullSafe(F.lit(value)))
-        rows = [(str(r), family, json.dumps(params), seed + r * stride + group) for r in range(replicates)]
-        runs = spark.createDataFrame(rows, "corpus string, family string, params string, seed long").repartition(replicates, "corpus")
-        made = generators.generated(spark, runs, generators.context_of(part, part), part).withColumn(key, F.lit(value))
-        out = made if out is None else out.unionByName(made)
-    return out
+    """Lines generated apart for each value of ``key``; seeds follow the replicate and the order of first appearance."""
+    first = Window.partitionBy(F.lit(0)).orderBy("p")  # a row a section or language
+    groups = lines.filter(F.size("words") > 0).groupBy(key).agg(F.min("page").alias("p")).select(key, (F.row_number().over(first) - 1).alias("nth"))
+    runs = _replicates(spark, family, params, replicates, seed).crossJoin(F.broadcast(groups))
+    runs = runs.withColumn("seed", F.lit(seed).cast("long") + F.col("replicate") * stride + F.col("nth"))
+    return generators.generated_by(lines, key, runs.drop("nth"))
+
+
+def campaign_null(spark: SparkSession, lines: DataFrame, key: str, params: dict, **how) -> DataFrame:
+    """Similarity by distance of each replicate of lines that were generated apart by ``key`` and stand in their pages again."""
+    made = staged(stock_replicates(spark, lines, key, params, **how), "campaign")
+    pages = staged(structure.pages_of(made, ["replicate"], ()), "campaign-pages")
+    return structure.similarity_by_distance(pages, ["replicate"])
 
 
 def campaign_order(lines: DataFrame, key: str) -> DataFrame:
     """``lines`` with place, their order when the lines of one key stand together."""
-    order = lines.select((F.col("page") * 100_000 + F.col("line_no")).alias("idx"), F.col(key).alias("key"))
-    placed = structure.stable_groups(order).select("idx", "place")
-    return lines.withColumn("idx", F.col("page") * 100_000 + F.col("line_no")).join(placed, "idx").drop("idx")
+    lines = lines.withColumn("idx", F.struct("page", "line_no"))
+    placed = structure.stable_groups(lines.select("idx", F.col(key).alias("key"))).select("idx", "place")
+    return lines.join(placed, "idx").drop("idx")
 
 
 def robustness(first: DataFrame, second: DataFrame, scale: DataFrame) -> Tables:

@@ -9,6 +9,7 @@ from lexiloom.operators import generators, stats, structure, verify
 from lexiloom.plans.relation_queries import _draw_sql
 from lexiloom.plans.stat_queries import QUERIES as STATS
 from lexiloom.plans.stat_queries import rounded
+from lexiloom.scratch import staged
 from lexiloom.sources.adapters import LINES_SQL, document_lines
 
 
@@ -40,21 +41,21 @@ def corpus_ranking(spark, sf):
 def robust_metrics(spark, sf):
     v = _vectors(spark, sf)
     pick = lambda c: v.filter(F.col("corpus") == c)
-    return rounded(verify.robustness(pick("src0"), pick("src1"), verify.scales(v)), 4).drop("robust")
+    return rounded(verify.robustness(pick("src0"), pick("src1"), verify.scales(v)), 4)
 
 
 def metric_frontier(spark, sf):
     """Which source comes nearest to src0 in each metric, as families do in a search."""
     z = verify.z_distances(_vectors(spark, sf), "src0").filter("corpus <> 'src0'")
-    return rounded(verify.frontier(z.select(F.col("corpus").alias("family"), "metric", F.col("z").alias("deviation")), 0.05), 4).select("metric", "deviation")
+    return rounded(verify.frontier(z.select(F.col("corpus").alias("family"), "metric", F.col("z").alias("deviation")), 0.05), 4)
 
 
 def calibration(spark, sf):
-    bars = {"h1": (3.0, 5.0), "h2": (2.0, 4.0), "mattr": (0.3, 0.9), "hapax_rate": (0.4, None), "zipf_slope": (None, -0.5)}
+    bars = {"h1": (3.0, 5.0), "h2": (2.0, 4.0), "mattr": (0.3, 0.9), "hapax_rate": (0.4, None), "zipf_slope": (None, -0.5), "length_mean": (3.0, 8.0), "zipf_r2": (0.9, 1.0)}
     v = verify.vector(stats.signature(document_lines(spark, sf))).filter(F.col("metric").isin(*bars))
     low = F.coalesce(*[F.when(F.col("metric") == m, F.lit(b[0]).cast("double")) for m, b in bars.items()])
     high = F.coalesce(*[F.when(F.col("metric") == m, F.lit(b[1]).cast("double")) for m, b in bars.items()])
-    return verify.within_bars(v.withColumn("low", low).withColumn("high", high)).select("corpus", "metric", "ok")
+    return verify.within_bars(v.withColumn("low", low).withColumn("high", high)).select("corpus", "metric", F.round("value", 6).alias("value"), "ok")
 
 
 def parameter_grid(spark, sf):
@@ -102,10 +103,10 @@ def rare_labels(spark, sf):
 
 
 def label_permutation(spark, sf):
-    """20 shuffles of all labels over the pages of their section."""
+    """All shuffles of all labels over the pages of their section."""
     labels, text = _labels(spark, sf)
     pool = structure.pools(labels.select("page", "section"))
-    return rounded(structure.permutation_test(labels, pool, text, 20))
+    return rounded(structure.permutation_test(labels, pool, text))
 
 
 def stable_groups(spark, sf):
@@ -114,29 +115,26 @@ def stable_groups(spark, sf):
 
 
 def _context(spark, sf):
-    """The first documents of the smallest source: a corpus a generator can fill in one call."""
-    lines = document_lines(spark, sf, "source").filter("corpus = 'src1'")
-    first = lines.select("page").distinct().orderBy("page").limit(20)
-    layout = lines.join(F.broadcast(first), "page")
-    plain = stats.indexed(document_lines(spark, sf).filter("corpus = 'en'").join(F.broadcast(first), "page")).select("idx", "word")
+    """All documents of source src1 as the corpus that generators are fitted to, with its English words as plain text."""
+    layout = staged(document_lines(spark, sf, "source").filter("corpus = 'src1'"), "layout")
+    plain = stats.indexed(layout.filter("language = 'en'")).select("idx", "word")
     return generators.context_of(layout, layout, plain), layout
 
 
 def generator_search(spark, sf):
-    """Four combinations of each family by two replicates, ranked by scaled distance."""
+    """Four combinations of each family, drawn by the policy's seed, by all replicates, ranked by scaled distance."""
     ctx, layout = _context(spark, sf)
-    runs = generators.plan(spark, list(generators.FAMILIES), budget=4, replicates=2)
-    v = _vectors(spark, sf)
+    runs = generators.plan(spark, list(generators.FAMILIES), budget=4)
     reference = verify.vector(stats.signature(layout)).select("metric", "value")
-    found = generators.search(spark, runs, ctx, layout, reference, verify.scales(v))
+    found = generators.search(spark, runs, ctx, layout, reference, verify.scales(_vectors(spark, sf)))
     return rounded(verify.ranked(found))
 
 
 def generated_words(spark, sf):
-    """Lines and words of one run of each family."""
-    ctx, layout = _context(spark, sf)
-    lines = generators.generated(spark, generators.plan(spark, list(generators.FAMILIES), budget=1, replicates=1), ctx, layout)
-    return lines.groupBy("corpus").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.size("words")).alias("words"))
+    """Lines and words of all replicates of one combination of each family, for each language a corpus of its own."""
+    runs = generators.plan(spark, list(generators.FAMILIES), budget=1)
+    made = generators.generated_by(document_lines(spark, sf), "language", runs)
+    return made.groupBy("language", "family", "replicate").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.size("words")).cast("long").alias("words"))
 
 
 _BY_SOURCE = STATS["signature_by_language"][1].replace("SELECT lang AS corpus", "SELECT source AS corpus").replace("round(", "(").replace(", 6)", ")")
@@ -166,9 +164,9 @@ QUERIES = {
     "scaled_distances": (scaled_distances, _VEC + _SC + "\nSELECT corpus, round(coalesce(avg(abs(value - r) / scale) FILTER (scale > 0), 0), 5) AS distance FROM vec JOIN sc USING (metric) JOIN ref USING (metric) GROUP BY corpus"),
     "z_distances": (z_distances, _VEC + _Z + "\nSELECT corpus, metric, round(z, 5) AS z FROM z"),
     "corpus_ranking": (corpus_ranking, _VEC + _Z + "\nSELECT corpus, round(avg(z), 5) AS distance FROM z GROUP BY corpus"),
-    "robust_metrics": (robust_metrics, _VEC + _SC + "\nSELECT metric, round(a.value, 4) AS first, round(b.value, 4) AS second, round(CASE WHEN scale > 0 THEN abs(a.value - b.value) / scale ELSE 0 END, 4) AS delta FROM (SELECT * FROM vec WHERE corpus = 'src0') a JOIN (SELECT * FROM vec WHERE corpus = 'src1') b USING (metric) JOIN sc USING (metric)"),
-    "metric_frontier": (metric_frontier, _VEC + _Z + "\nSELECT metric, round(min(z), 4) AS deviation FROM z WHERE corpus <> 'src0' GROUP BY metric"),
-    "calibration": (calibration, "WITH sig AS (" + STATS["signature_by_language"][1].replace("round(", "(").replace(", 6)", ")") + ")\n" + " UNION ALL ".join(f"SELECT corpus, '{m}' AS metric, {c} AS ok FROM sig" for m, c in (("h1", "h1 BETWEEN 3 AND 5"), ("h2", "h2 BETWEEN 2 AND 4"), ("mattr", "mattr BETWEEN 0.3 AND 0.9"), ("hapax_rate", "hapax_rate >= 0.4"), ("zipf_slope", "zipf_slope <= -0.5")))),
+    "robust_metrics": (robust_metrics, _VEC + _SC + "\nSELECT metric, round(a.value, 4) AS first, round(b.value, 4) AS second, round(CASE WHEN scale > 0 THEN abs(a.value - b.value) / scale ELSE 0 END, 4) AS delta, CASE WHEN scale > 0 THEN abs(a.value - b.value) / scale ELSE 0 END <= 0.5 AS robust FROM (SELECT * FROM vec WHERE corpus = 'src0') a JOIN (SELECT * FROM vec WHERE corpus = 'src1') b USING (metric) JOIN sc USING (metric)"),
+    "metric_frontier": (metric_frontier, _VEC + _Z + "\nSELECT metric, arg_min(corpus, (z, corpus)) AS family, round(min(z), 4) AS deviation, min(z) > 0.05 AS unreproduced FROM z WHERE corpus <> 'src0' GROUP BY metric"),
+    "calibration": (calibration, "WITH sig AS (" + STATS["signature_by_language"][1].replace("round(", "(").replace(", 6)", ")") + ")\n" + " UNION ALL ".join(f"SELECT corpus, '{m}' AS metric, round({m}::DOUBLE, 6) AS value, {c} AS ok FROM sig" for m, c in (("length_mean", "length_mean BETWEEN 3 AND 8"), ("zipf_r2", "zipf_r2 BETWEEN 0.9 AND 1"), ("h1", "h1 BETWEEN 3 AND 5"), ("h2", "h2 BETWEEN 2 AND 4"), ("mattr", "mattr BETWEEN 0.3 AND 0.9"), ("hapax_rate", "hapax_rate >= 0.4"), ("zipf_slope", "zipf_slope <= -0.5")))),
     "parameter_grid": (parameter_grid, "SELECT row_number() OVER (ORDER BY a, b, k) - 1 AS combo, a, b, c FROM (VALUES ('x'), ('y')) x(a), (VALUES (1), (2), (3)) y(b), (VALUES (0, 0.5::DOUBLE), (1, 0.25::DOUBLE)) z(k, c)"),
     "page_similarity": (page_similarity, f"WITH {LINES_SQL.strip()}{_PG},\n{_BUCKETS}, pr AS (SELECT lo, hi, coalesce({_JACC}, 0) AS j FROM pg a JOIN pg b ON b.page > a.page AND b.page <= a.page + 64 JOIN bk ON b.page - a.page BETWEEN lo AND hi)\nSELECT 'all' AS corpus, lo, hi, round(coalesce(avg(j), 0), 6) AS mean, count(j) AS pairs FROM bk LEFT JOIN pr USING (lo, hi) GROUP BY ALL"),
     "section_contrast": (section_contrast, _section_sql("'all'", "language")),
@@ -183,12 +181,12 @@ SELECT corpus, lo, hi, round(coalesce(same_mean, 0), 6) AS same_mean, coalesce(s
     "rare_labels": (rare_labels, f"WITH {LINES_SQL.strip()}{_LABELS}\nSELECT form, count(*) AS pages FROM tx WHERE form IN (SELECT form FROM lb) GROUP BY form HAVING count(*) BETWEEN 1 AND 3"),
     "label_permutation": (label_permutation, f"""WITH {LINES_SQL.strip()}{_LABELS},
 pool AS (SELECT section, page, row_number() OVER (PARTITION BY section ORDER BY page) - 1 AS rank, count(*) OVER (PARTITION BY section) AS size FROM (SELECT DISTINCT section, page FROM lb)),
-sh AS (SELECT shuffle, section, form, floor({_draw_sql('630', 'shuffle * n + page')} * size)::BIGINT AS rank FROM (SELECT lb.*, size, (SELECT count(*) FROM lb) AS n FROM lb JOIN (SELECT DISTINCT section, size FROM pool) USING (section)), (SELECT unnest(range(0, 20)) AS shuffle)),
+sh AS (SELECT shuffle, section, form, floor({_draw_sql('630', 'shuffle * n + page')} * size)::BIGINT AS rank FROM (SELECT lb.*, size, (SELECT count(*) FROM lb) AS n FROM lb JOIN (SELECT DISTINCT section, size FROM pool) USING (section)), (SELECT unnest(range(0, 1000)) AS shuffle)),
 mv AS (SELECT shuffle, form, page FROM sh JOIN pool USING (section, rank) WHERE page IN (SELECT page FROM tx)),
 rt AS (SELECT shuffle, count(tx.form)::DOUBLE / count(*) AS r FROM mv LEFT JOIN tx USING (page, form) GROUP BY shuffle),
 re AS (SELECT count(tx.form) AS hits, count(*) AS total, count(tx.form)::DOUBLE / count(*) AS rate FROM lb LEFT JOIN tx USING (page, form) WHERE page IN (SELECT page FROM tx))
-SELECT hits, total, round(rate, 6) AS rate, round(count(*) FILTER (r >= rate) / 20.0::DOUBLE, 6) AS p, round(avg(r), 6) AS null_mean FROM rt, re GROUP BY ALL"""),
+SELECT hits, total, round(rate, 6) AS rate, round(count(*) FILTER (r >= rate) / 1000.0::DOUBLE, 6) AS p, round(avg(r), 6) AS null_mean FROM rt, re GROUP BY ALL"""),
     "stable_groups": (stable_groups, "SELECT idx, key, row_number() OVER (ORDER BY first, idx) - 1 AS place FROM (SELECT *, min(idx) OVER (PARTITION BY key) AS first FROM (SELECT doc_id AS idx, nullif(source, 'src3') AS key FROM documents WHERE text IS NOT NULL))"),
     "generator_search": (generator_search, None),
-    "generated_words": (generated_words, None),
+    "generated_words": (generated_words, "WITH " + LINES_SQL.strip() + "\nSELECT language, family, r::INT AS replicate, count(*) AS lines, sum(len(words))::BIGINT AS words FROM lines, (VALUES " + ", ".join(f"('{f}')" for f in generators.FAMILIES) + ") v(family), range(0, 5) w(r) WHERE len(words) > 0 GROUP BY ALL"),
 }

@@ -108,12 +108,13 @@ def run_ingest(spark: SparkSession, registry: str, source: str, folder: str) ->
 
 
 def write_markdown(path: str, title: str, tables: dict[str, DataFrame], rows: int = 200) -> None:
-    """Small result tables as one markdown file; at most ``rows`` rows of each are shown."""
+    """Small result tables as one markdown file; of a table of more than ``rows`` rows the first are shown, and how many are not."""
     out = [f"# {title}", ""]
     for name, df in tables.items():
         out += [f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
         out += ["| " + " | ".join("" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in df.limit(rows).collect()]
-        out.append("")
+        more = max(0, df.count() - rows)
+        out += [*(["", f"{more} more rows."] if more else []), ""]
     with open(path, "w", encoding="utf-8") as f:
         f.write("\n".join(out))
 

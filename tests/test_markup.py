@@ -2,19 +2,19 @@ import pytest
 
 from lexiloom.sources import markup, provenance
 
-FILE = """#=IVTFF Eva- 2.0 M 5
-# comment
+FILE = """#=IVTFF Toy- 1.5.2 D
+# made up
 
-<f1r>      <! $Q=A $P=a $I=T $L=A $H=1>
-<f1r.1,@P0>       <%>fachys.ykal.ar.ataiin.shol<$>
-<f1r.2,+P0;H>       sory.ckhar,or.y,kair<->otaiin
-<f1r.3,+Lt>       qo[k:t]eedy.{cth}ey.da@194;in.cho?dy.???
-<f1r.4,+P0>       long.line.that.wraps/
-/over.two/
-/.lines
-<f2v>      <! $H=@ $Q=B>
-<f2v.1,@P0>       daiin
-<f2v.2,+P0>       <@H=2>shedy.qokeedy
+<p7>      <! $Q=C $P=b $I=Z $L=B $H=5>
+<p7.1,@P0>       <%>mola.ti.renu<$>
+<p7.2,+P0;K>       gus.fe,lo,vim~<~>pax
+<p7.3,+Lt>       mi[r:s]o.{bl}un.zo@207;e.ka?.??
+<p7.4,+P0>       tre.que/
+/mo.sal/
+/.fin
+<q1v>      <! $H=@ $Q=D>
+<q1v.1,@P0>       solo
+<q1v.2,+P0>       <@H=8>nix.vel
 """
 
 
@@ -24,30 +24,30 @@ def files(spark, *texts):
 
 def test_file_is_parsed(spark):
     parts = markup.ingest(files(spark, FILE))
-    assert tuple(parts["header"].first())[1:] == ("Eva-", "2.0", "M") and parts["errors"].count() == 0
+    assert tuple(parts["header"].first())[1:] == ("Toy-", "1.5.2", "D") and parts["errors"].count() == 0
     pages = {r["name"]: r for r in parts["pages"].collect()}
-    assert pages["f1r"]["seq"] == 0 and pages["f2v"]["seq"] == 1 and pages["f2v"]["hand"] is None and pages["f1r"]["illustration_type"] == "T"
+    assert pages["p7"]["seq"] == 0 and pages["q1v"]["seq"] == 1 and pages["q1v"]["hand"] is None and pages["p7"]["illustration_type"] == "Z"
     loci = {(r["page"], r["num"]): r for r in parts["loci"].collect()}
-    assert loci["f1r", 4]["raw_text"] == "long.line.that.wrapsover.two.lines" and loci["f1r", 2]["transcriber"] == "H"
-    assert loci["f1r", 1]["par_start"] and loci["f1r", 1]["par_end"] and loci["f2v", 2]["hand"] == "2" and loci["f2v", 1]["hand"] is None and loci["f1r", 3]["hand"] == "1"
+    assert loci["p7", 4]["raw_text"] == "tre.quemo.sal.fin" and loci["p7", 2]["transcriber"] == "K"
+    assert loci["p7", 1]["par_start"] and loci["p7", 1]["par_end"] and loci["q1v", 2]["hand"] == "8" and loci["q1v", 1]["hand"] is None and loci["p7", 3]["hand"] == "5"
     tokens = {(r["page"], r["num"], r["position"]): r for r in parts["tokens"].collect()}
-    assert [tokens["f1r", 2, k]["form"] for k in range(6)] == ["sory", "ckhar", "or", "y", "kair", "otaiin"]
-    assert [tokens["f1r", 2, k]["sep_before"] for k in range(6)] == [None, ".", ",", ".", ",", "-"]
-    third = [tokens["f1r", 3, k] for k in range(5)]
-    assert [t["form"] for t in third] == ["qokeedy", "cthey", "da@194;in", "cho?dy", "???"]
-    assert third[0]["has_alternative"] and third[1]["has_ligature"] and third[2]["has_high_ascii"] and third[3]["has_unreadable"] and third[2]["glyph_count"] == 5
+    assert [tokens["p7", 2, k]["form"] for k in range(5)] == ["gus", "fe", "lo", "vim~", "pax"]
+    assert [tokens["p7", 2, k]["sep_before"] for k in range(5)] == [None, ".", ",", ",", "~"]
+    third = [tokens["p7", 3, k] for k in range(5)]
+    assert [t["form"] for t in third] == ["miro", "blun", "zo@207;e", "ka?", "??"]
+    assert third[0]["has_alternative"] and third[1]["has_ligature"] and third[2]["has_high_ascii"] and third[3]["has_unreadable"] and third[2]["glyph_count"] == 4
 
 
 @pytest.mark.parametrize(
     "text,line,message",
     [
-        ("no header\n<f1r> x", 1, "invalid file header"),
-        ("#=IVTFF Eva- 2.0 M\n<f1r.1,@P0> a", 2, "locus before any page header"),
-        ("#=IVTFF Eva- 2.0 M\n<f1r>\n<f2r.1,@P0> a", 3, "locus does not match the current page header"),
-        ("#=IVTFF Eva- 2.0 M\n<f1r>\n/x", 3, "continuation line without a preceding wrapped line"),
-        ("#=IVTFF Eva- 2.0 M\n<f1r>\n<f1r.1,@P0> a/\n<f1r.2,@P0> b", 3, "wrapped line not followed by a continuation line"),
-        ("#=IVTFF Eva- 2.0 M\nplain", 2, "unexpected line start"),
-        ("#=IVTFF Eva- 2.0 M\n<a.b> x", 2, "unrecognized line"),
+        ("anything\n<k2> x", 1, "the first line is no file header"),
+        ("#=IVTFF Toy- 1.0 A\n<k2.1,@P0> u", 2, "a locus outside of any page"),
+        ("#=IVTFF Toy- 1.0 A\n<k2>\n<k3.1,@P0> u", 3, "the locus is of another page"),
+        ("#=IVTFF Toy- 1.0 A\n<k2>\n/u", 3, "a continuation with nothing to continue"),
+        ("#=IVTFF Toy- 1.0 A\n<k2>\n<k2.1,@P0> u/\n<k2.2,@P0> v", 3, "the wrapped line is never continued"),
+        ("#=IVTFF Toy- 1.0 A\nnothing known", 2, "neither a header, a locus, a comment nor a continuation"),
+        ("#=IVTFF Toy- 1.0 A\n<k.l> u", 2, "no known form of header or locus"),
     ],
 )
 def test_faults(spark, text, line, message):
@@ -56,16 +56,16 @@ def test_faults(spark, text, line, message):
 
 def test_tokenizer_cases():
     forms = lambda raw, comma=True: [t["form"] for t in markup.tokenize(raw, comma)[0]]
-    assert forms("daiin.ol.chedy") == ["daiin", "ol", "chedy"]
-    assert forms("sory,ckhar,or") == ["sory", "ckhar", "or"] and forms("sory,ckhar.or", False) == ["soryckhar", "or"]
-    assert [t["sep_before"] for t in markup.tokenize("kair<->otaiin<~>chol")[0]] == [None, "-", "~"]
-    token = markup.tokenize("a[{ct}:o]ob")[0][0]
-    assert token["form"] == "actob" and token["has_alternative"] and token["has_ligature"]
-    assert markup.tokenize("<%>a<!free>b<@H=3><@H=4><$>")[1:] == (True, True, {"H": "4"}) and forms("a<!x>b c") == ["abc"]
+    assert forms("mola.ti.renu.ti") == ["mola", "ti", "renu", "ti"]
+    assert forms("gus,fe.lo,vim") == ["gus", "fe", "lo", "vim"] and forms("gus,fe.lo,vim", False) == ["gusfe", "lovim"]
+    assert [t["sep_before"] for t in markup.tokenize("pax<~>nix,vel<->solo")[0]] == [None, "~", ",", "-"]
+    token = markup.tokenize("so[l{ab}:m:n]ne.u")[0][0]
+    assert token["form"] == "solabne" and token["has_alternative"] and token["has_ligature"] and not token["has_unreadable"]
+    assert markup.tokenize("<@K=1>u<%><!why>v<@K=2><$>")[1:] == (True, True, {"K": "2"}) and forms("u<!why>v  w") == ["uvw"]
     # A flag set before a form is open stays for the next.
-    first = markup.tokenize("[:b].ol")[0][0]
-    assert first["form"] == "ol" and first["has_alternative"] and first["sep_before"] == "."
-    for raw in ("a<!unclosed", "a[b:c", "a{bc", "a@12;b", "a}", "{a{b}}", "{a<!x>}", "<&>"):
+    first = markup.tokenize("[:u]<->vel")[0][0]
+    assert first["form"] == "vel" and first["has_alternative"] and first["sep_before"] == "-"
+    for raw in ("sol<!never ends", "so[l:m", "so{lm", "so@9;l", "sol}", "{so{l}}", "{so<!x>}", "<?>"):
         with pytest.raises(markup.MarkupError):
             markup.tokenize(raw)
 
@@ -88,4 +88,4 @@ def test_registry_gate_and_store(spark, tmp_path):
     with pytest.raises(provenance.RegistryError):
         provenance.register(spark, registry, str(tmp_path / "missing"), "", "")
     provenance.write_markdown(str(tmp_path / "r.md"), "t", {"pages": back["pages"].select("name", "seq").orderBy("seq")})
-    assert [tuple(r) for r in provenance.read_markdown(spark, str(tmp_path / "r.md"), "pages").collect()] == [("f1r", "0"), ("f2v", "1")]
+    assert [tuple(r) for r in provenance.read_markdown(spark, str(tmp_path / "r.md"), "pages").collect()] == [("p7", "0"), ("q1v", "1")]

@@ -12,8 +12,9 @@ def pages(spark, *rows):
 
 
 def test_similarity_by_distance(spark):
-    got = structure.similarity_by_distance(pages(spark, (1, "H", "ab"), (2, "H", "bc"), (3, "H", "cd"), (4, "H", "de")), buckets=((1, 1), (2, 3), (4, 9))).collect()
-    assert sorted((r["lo"], round(r["mean"], 6), r["pairs"]) for r in got) == [(1, 0.333333, 3), (2, 0.0, 3), (4, 0.0, 0)]
+    rows = pages(spark, (10, "X", "pqr"), (11, "X", "qrs"), (13, "Y", "s"), (17, "Y", "pqrs"))
+    got = structure.similarity_by_distance(rows, buckets=((1, 2), (3, 4), (5, 6), (8, 9))).collect()
+    assert sorted((r["lo"], round(r["mean"], 6), r["pairs"]) for r in got) == [(1, round((1 / 2 + 1 / 3) / 2, 6), 2), (3, 0.125, 2), (5, 0.75, 1), (8, 0.0, 0)]
 
 
 def test_section_contrast(spark):
@@ -46,7 +47,7 @@ def test_labels(spark):
 
 
 def test_groups_keep_their_order(spark):
-    for keys, want in (["H", "A", "H", "B", "A", "H"], [0, 2, 5, 1, 4, 3]), (["H", None, "H", None], [0, 2, 1, 3]):
+    for keys, want in (list("ccbacab"), [0, 1, 4, 2, 6, 3, 5]), ([None, "z", "y", None, "z"], [0, 3, 1, 4, 2]):
         df = spark.createDataFrame(list(enumerate(keys)), "idx long, key string")
         got = sorted((r["place"], r["idx"]) for r in structure.stable_groups(df).collect())
         assert [i for _, i in got] == want
@@ -129,6 +130,17 @@ def test_every_family_fills_the_layout_the_same_way_twice(name):
         assert len(words) == 200 and words == family.generate(params, ctx, Stream(11))
 
 
+def test_corpora_are_generated_apart_and_agree_with_plain_python(spark):
+    rows = [("x", 1, 0, True, ["ab", "cd"]), ("x", 1, 1, False, []), ("x", 2, 0, False, ["e"]), ("y", 3, 0, True, ["f", "gh", "i"])]
+    source = spark.createDataFrame(rows, "language string, page long, line_no int, par_start boolean, words array<string>")
+    runs = spark.createDataFrame([(generators.SHUFFLED, "{}", r, 7 + r) for r in range(3)], "family string, params string, replicate int, seed long")
+    got = {(r["language"], r["replicate"], r["page"], r["line_no"]): r["words"] for r in generators.generated_by(source, "language", runs).collect()}
+    for r in range(3):
+        own = [["ab", "cd", "e"][k] for k in permutation(3, Stream(7 + r))]
+        assert got["x", r, 1, 0] == own[:2] and got["x", r, 2, 0] == own[2:] and sorted(got["y", r, 3, 0]) == ["f", "gh", "i"]
+    assert len(got) == 9
+
+
 def test_generator_parts():
     starts, ends = generators.edge_slots("qokeedy chol qodam chedy dar dy".split(), [3, 3])
     assert starts == {"qo": 1, "ch": 1} and ends == {"am": 1, "": 1}
