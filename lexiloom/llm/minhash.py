@@ -9,15 +9,14 @@ of ROWS are the keys of BANDS buckets.
 Texts of equal sets are one class, which has one representative. Among the
 representatives in a bucket, each is paired only with the bucket's centre, its
 smallest doc_id, so that a bucket of n gives n - 1 pairs. Pairs are confirmed on
-the full sets, and confirmed links make components. Later rounds go to buckets
-that still hold several components: there, up to CENTRES other members in a
-hashed order that differs by bucket and round are centres for the members of
-other components. Pairs tried before are left out. After ROUNDS at most, or one
-that finds nothing new, what they leave is settled exactly: the members of buckets that
-still hold several components are joined by the prefixes of their full sets,
-rarest shingles first, which no pair of similar sets can miss, and each candidate
-of two components is confirmed. A link within a component changes nothing, so
-none such is looked for. At a similarity of 0.85 two sets share no bucket with a
+the full sets, and confirmed links make components. Buckets that still hold
+several components get a second centre, in a hashed order that differs by bucket,
+for the members of other components; pairs tried before are left out. What the
+two centres leave is settled exactly: the members of buckets that still hold
+several components are joined by the prefixes of their full sets, rarest shingles
+first, which no pair of similar sets can miss, and each candidate of two
+components is confirmed. A link within a component changes nothing, so none such
+is looked for. At a similarity of 0.85 two sets share no bucket with a
 probability below 1e-6, at 0.80 below 1e-4, and less above.
 
 Shingles are 64-bit hashes; the whole set of a text has a fingerprint of 128 bits.
@@ -46,7 +45,6 @@ WORDS = 5
 BANDS, ROWS = 32, 6
 BINS = BANDS * ROWS
 SIMILAR = 85
-CENTRES, ROUNDS = 4, 3
 _SEED = 20_177
 
 _edges = np.array([-(-(i << 64) // BINS) for i in range(BINS)], dtype=np.uint64)
@@ -149,18 +147,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similar: int = SIMILAR
     alias = named.filter("rep <> doc_id").join(twice.drop("n"), "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     links = scratch.write(confirmed(scratch, sets, pairs, "links1", similar).unionByName(alias), "all1")
     labels = scratch.write(components(scratch, links, "cc1-"), "labels1")
-    for k in range(2, ROUNDS + 1):
-        more = _further_pairs(members, labels, rows, k)
-        more = scratch.write(more.join(pairs, ["a", "b"], "left_anti"), f"new{k}")
-        if more.isEmpty():
-            break
-        found = confirmed(scratch, sets, more, f"links{k}", similar)
-        pairs = scratch.write(pairs.unionByName(more), f"pairs{k}")
-        if found.isEmpty():
-            break
-        links = scratch.write(links.unionByName(found), f"all{k}")
-        labels = scratch.write(components(scratch, links, f"cc{k}-"), f"labels{k}")
-    # The rounds are quick, not whole: the rest of the pairs of two components by an exact join.
+    more = scratch.write(_second_centres(members, labels, rows).join(pairs, ["a", "b"], "left_anti"), "pairs2")
+    found = confirmed(scratch, sets, more, "links2", similar)
+    if not found.isEmpty():
+        links = scratch.write(links.unionByName(found), "all2")
+        labels = scratch.write(components(scratch, links, "cc2-"), "labels2")
+    pairs = pairs.unionByName(more)
+    # Centres are quick, not whole: the rest of the pairs of two components by an exact join.
     rest = scratch.write(_rest_pairs(scratch, members, labels, sets, rows, similar).join(pairs, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty() and not (found := confirmed(scratch, sets, rest, "links-rest", similar)).isEmpty():
         labels = components(scratch, links.unionByName(found), "cc-rest-")
@@ -213,18 +206,17 @@ def _rest_pairs(scratch: Scratch, members: DataFrame, labels: DataFrame, sets: D
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _further_pairs(members: DataFrame, labels: DataFrame, rows: int, turn: int) -> DataFrame:
-    """Pairs of up to CENTRES members with members of other components, in buckets that hold several components."""
+def _second_centres(members: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """Pairs of a second centre with the members of other components, in buckets that hold several components."""
     bucket = ["band", "key"]
     labelled = _several(members, labels, rows)
-    by_hash = F.struct(F.xxhash64(F.lit(turn), "band", "key", "node").alias("h"), F.col("node").alias("c"), F.col("component").alias("of"))
-    # The least hash of each of CENTRES parts of the members, by partial aggregates.
-    picks = labelled.groupBy(*bucket).agg(*[F.min(F.when(F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(CENTRES)) == i, by_hash)).alias(f"p{i}") for i in range(CENTRES)], F.count(F.lit(1)).alias("n"))
-    picks = picks.select(*bucket, "n", F.array_compact(F.array(*[f"p{i}" for i in range(CENTRES)])).alias("picks"))
-    joined = left_join_grouped(labelled, picks, bucket, "n", BANDS * rows)
-    # A member meets centres of other components alone.
-    joined = joined.withColumn("p", F.explode(F.filter("picks", lambda p: p["of"] != F.col("component"))))
-    return joined.select(F.least("node", "p.c").alias("a"), F.greatest("node", "p.c").alias("b")).distinct()
+    # The centre is outside the bucket's least component, which the first centre is likely to have gathered.
+    least = labelled.groupBy(*bucket).agg(F.min("component").alias("lo"), F.count(F.lit(1)).alias("n"))
+    outside = left_join_grouped(labelled, least, bucket, "n", BANDS * rows).filter("component > lo")
+    by_hash = F.struct(F.xxhash64("band", "key", "node").alias("h"), F.col("node").alias("c"), F.col("component").alias("of"))
+    picks = outside.groupBy(*bucket).agg(F.min(by_hash).alias("p")).join(least.drop("lo"), bucket)
+    met = left_join_grouped(labelled, picks, bucket, "n", BANDS * rows).filter("p.of <> component")
+    return met.select(F.least("node", "p.c").alias("a"), F.greatest("node", "p.c").alias("b")).distinct()
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
