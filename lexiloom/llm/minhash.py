@@ -147,7 +147,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similar: int = SIMILAR
     alias = named.filter("rep <> doc_id").join(twice.drop("n"), "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     links = scratch.write(confirmed(scratch, sets, pairs, "links1", similar).unionByName(alias), "all1")
     labels = scratch.write(components(scratch, links, "cc1-"), "labels1")
-    more = scratch.write(_second_centres(members, labels, rows).join(pairs, ["a", "b"], "left_anti"), "pairs2")
+    more = scratch.write(_second_centres(scratch, members, labels, rows).join(pairs, ["a", "b"], "left_anti"), "pairs2")
     found = confirmed(scratch, sets, more, "links2", similar)
     if not found.isEmpty():
         links = scratch.write(links.unionByName(found), "all2")
@@ -167,12 +167,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similar: int = SIMILAR
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _several(members: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """The members, with their components, of buckets that hold several components."""
+def _several(scratch: Scratch, members: DataFrame, labels: DataFrame, rows: int, name: str) -> DataFrame:
+    """The members of buckets that hold several components, with their component and the bucket's least (lo)."""
     bucket = ["band", "key"]
     labelled = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).select(*bucket, "node", "component")
+    labelled = scratch.write(labelled, f"{name}-labelled")
     several = labelled.groupBy(*bucket).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
-    return left_join_grouped(labelled, several, bucket, "n", BANDS * rows).filter("lo IS NOT NULL").drop("lo", "hi")
+    several = scratch.write(several.drop("hi"), f"{name}-buckets")
+    found = scratch.write(left_join_grouped(labelled, several, bucket, "n", BANDS * rows).filter("lo IS NOT NULL"), name)
+    scratch.drop(f"{name}-labelled", f"{name}-buckets")
+    return found
 
 
 def _rest_pairs(scratch: Scratch, members: DataFrame, labels: DataFrame, sets: DataFrame, rows: int, similar: int) -> DataFrame:
@@ -183,7 +187,7 @@ def _rest_pairs(scratch: Scratch, members: DataFrame, labels: DataFrame, sets: D
     the first of these is among the first few of both: of the smaller set fewer
     than of the larger. Shingles of one set alone only take places.
     """
-    nodes = scratch.write(_several(members, labels, rows).select("node", "component").distinct(), "several")
+    nodes = scratch.write(_several(scratch, members, labels, rows, "left").select("node", "component").distinct(), "several")
     own = sets.withColumnRenamed("doc_id", "node").join(nodes, "node").select("node", "component", F.size("shingles").cast("long").alias("size"), "shingles")
     own = scratch.write(own.withColumn("h", F.xxhash64("shingles")), "own")
     words = own.select("node", "component", "size", "h", F.explode("shingles").alias("w"))
@@ -206,16 +210,14 @@ def _rest_pairs(scratch: Scratch, members: DataFrame, labels: DataFrame, sets: D
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _second_centres(members: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+def _second_centres(scratch: Scratch, members: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """Pairs of a second centre with the members of other components, in buckets that hold several components."""
     bucket = ["band", "key"]
-    labelled = _several(members, labels, rows)
+    labelled = _several(scratch, members, labels, rows, "mixed")
     # The centre is outside the bucket's least component, which the first centre is likely to have gathered.
-    least = labelled.groupBy(*bucket).agg(F.min("component").alias("lo"), F.count(F.lit(1)).alias("n"))
-    outside = left_join_grouped(labelled, least, bucket, "n", BANDS * rows).filter("component > lo")
     by_hash = F.struct(F.xxhash64("band", "key", "node").alias("h"), F.col("node").alias("c"), F.col("component").alias("of"))
-    picks = outside.groupBy(*bucket).agg(F.min(by_hash).alias("p")).join(least.drop("lo"), bucket)
-    met = left_join_grouped(labelled, picks, bucket, "n", BANDS * rows).filter("p.of <> component")
+    picks = labelled.groupBy(*bucket).agg(F.min(F.when(F.col("component") > F.col("lo"), by_hash)).alias("p"), F.count(F.lit(1)).alias("n"))
+    met = left_join_grouped(labelled.drop("lo"), scratch.write(picks, "picks"), bucket, "n", BANDS * rows).filter("p.of <> component")
     return met.select(F.least("node", "p.c").alias("a"), F.greatest("node", "p.c").alias("b")).distinct()
 
 
