@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +82,169 @@ def section_contrast(pages: DataFrame, by: list[str] = CORPUS, buckets=policy.PA
     return _with_contrast(_every_bucket(_contrast(pairs, F.col("section_a") == F.col("section_b"), by), pages, by, buckets))
 
 
+#: Pages of one block where pages of several tasks meet.
+PAGE_BLOCK = 1024
+
+
+def _numbers(words: pa.Array) -> np.ndarray:
+    """A hash of 64 bits for each word, the same within a task."""
+    part = words.dictionary_encode()
+    return np.array([hash(w) for w in part.dictionary.to_pylist()], np.int64)[np.asarray(part.indices)] if len(words) else np.zeros(0, np.int64)
+
+
+def sets_in_order(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[tuple, list]]:
+    """For each group ``by`` its pages in order, from lines or pages that stand in order: (page, section, own, set of words as hashes)."""
+    group, pages, page, parts = None, [], None, {}
+
+    def closed() -> None:
+        for (section, own), words in sorted(parts.items()):
+            if page is not None and (kinds := np.unique(np.concatenate(words))).size:
+                pages.append((page, section, own, kinds))
+
+    for batch in batches:
+        has = batch.schema.names
+        rows, hashes = batch.num_rows, _numbers(batch.column("words").flatten())
+        ends = np.cumsum(np.asarray(batch.column("words").value_lengths())).tolist()
+        keys = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True))
+        of = lambda c, other: batch.column(c).to_pylist() if c in has else [other] * rows  # noqa: E731, B023
+        low = 0
+        for key, at, section, own, high in zip(keys, of("page", None), of("section", ""), of("own", True), ends, strict=True):
+            if key != group or at != page:
+                closed()
+                page, parts = at, {}
+                if key != group or len(pages) >= PAGE_BLOCK and group is not None:
+                    if group is not None:
+                        yield group, pages
+                    pages, group = [], key
+            parts.setdefault((section, own), []).append(hashes[low:high])
+            low = high
+    closed()
+    if group is not None:
+        yield group, pages
+
+
+def sums_in_order(by: list[str], kind: str, buckets=policy.PAGE_BUCKETS):
+    """Sums of the similarity of pairs of pages by distance, for :func:`generated_by`, and their schema.
+
+    The pages of a group stand together and in order, so that a page meets those
+    it has pairs with in a window as long as the reach: no page is moved. A pair
+    counts where its first page is ``own``. Each group gets every bucket.
+    """
+    reach = max(b for _, b in buckets)
+    names = [*by, "lo", "hi", "same_sum", "same_pairs", "diff_sum", "diff_pairs"]
+
+    def sums(window: list, fresh: list, out: np.ndarray) -> list:
+        """Adds the pairs whose later page is one of ``fresh``; gives back the window for the next ones."""
+        pages = window + fresh
+        if len(pages) < 2 or not fresh:
+            return pages
+        number = np.array([p[0] for p in pages], np.int64)
+        size = np.array([len(p[3]) for p in pages], np.int64)
+        bounds = np.append(0, np.cumsum(size))
+        _, codes = np.unique(np.concatenate([p[3] for p in pages]), return_inverse=True)
+        section = np.unique([p[1] for p in pages], return_inverse=True)[1]
+        own = np.array([p[2] for p in pages])
+        present = np.zeros(int(codes.max()) + 1, np.uint8)
+        first = np.searchsorted(number, number - reach)
+        upto = np.searchsorted(number, number)  # earlier pages only: those of the same number make no pair
+        found: list[tuple[np.ndarray, ...]] = []
+        for k in range(len(window), len(pages)):
+            a, b = int(first[k]), int(upto[k])
+            if a == b:
+                continue
+            mine = codes[bounds[k] : bounds[k + 1]]
+            present[mine] = 1
+            shared = np.add.reduceat(present[codes[bounds[a] : bounds[b]]], bounds[a:b] - bounds[a], dtype=np.int64)
+            present[mine] = 0
+            found.append((number[k] - number[a:b], shared / (size[a:b] + size[k] - shared), section[a:b] == section[k], own[a:b]))
+        if found:
+            far, similar, same, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+            for i, (lo, hi) in enumerate(buckets):
+                inside = counts & (far >= lo) & (far <= hi)
+                for j, part in ((0, inside & same), (2, inside & ~same)):
+                    out[i, j] += similar[part].sum()
+                    out[i, j + 1] += part.sum()
+        return pages[int(np.searchsorted(number, number[-1] - reach)) :]
+
+    def run(batches):
+        group, window, out, any_page = None, [], None, False
+
+        def rows():
+            columns = [pa.array([group[i]] * len(buckets)) for i in range(len(by))] + [pa.array([b[i] for b in buckets], pa.int32()) for i in (0, 1)]
+            columns = [c.cast(pa.int32()) if n == "replicate" else c for n, c in zip(names, columns, strict=False)]
+            return pa.RecordBatch.from_arrays(columns + [pa.array(out[:, i]) if i % 2 == 0 else pa.array(out[:, i].astype(np.int64)) for i in range(4)], names)
+
+        for key, pages in sets_in_order(batches, by):
+            if key != group:
+                if any_page:
+                    yield rows()
+                group, window, out, any_page = key, [], np.zeros((len(buckets), 4)), False
+            any_page = any_page or bool(pages)
+            window = sums(window, [p for p in pages if p[1] is not None], out)
+        if any_page:
+            yield rows()
+
+    return run, ", ".join(f"{c} {'int' if c == 'replicate' else kind}" for c in by) + ", lo int, hi int, same_sum double, same_pairs long, diff_sum double, diff_pairs long"
+
+
+def page_texts(between: str):
+    """The distinct words of each page as one text, for :func:`generated_by`, by replicate; and their schema."""
+
+    def run(batches):
+        now, words, done = None, set(), []
+
+        def packed():
+            return pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int32()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.string())], ["replicate", "page", "text"])
+
+        for batch in batches:
+            flat, low = batch.column("words").flatten().to_pylist(), 0
+            for replicate, page, n in zip(*(batch.column(c).to_pylist() for c in ("replicate", "page")), batch.column("words").value_lengths().to_pylist(), strict=True):
+                if (replicate, page) != now:
+                    if words:
+                        done.append((*now, between.join(sorted(words))))
+                    now, words = (replicate, page), set()
+                words.update(flat[low : low + n])
+                low += n
+            if done:
+                yield packed()
+                done = []
+        if words:
+            done.append((*now, between.join(sorted(words))))
+            yield packed()
+
+    return run, "replicate int, page long, text string"
+
+
+def similarity_of_texts(pages: DataFrame, between: str, buckets=policy.PAGE_BUCKETS) -> DataFrame:
+    """:func:`similarity_by_distance` of each replicate of ``pages`` (replicate, page, text), which may come in parts.
+
+    Pages meet in blocks; only those within reach of a block's end are sent to two.
+    """
+    reach, size = max(b for _, b in buckets), F.lit(PAGE_BLOCK)
+    blocks = pages.filter("page IS NOT NULL").withColumn("home", F.floor(F.col("page") / size).cast("long"))
+    near = F.pmod("page", size) < reach
+    blocks = blocks.withColumn("block", F.explode(F.when(near, F.array("home", F.col("home") - 1)).otherwise(F.array("home"))))
+    blocks = blocks.repartition("replicate", "block").sortWithinPartitions("replicate", "block", "page")
+    rows = blocks.select("replicate", "block", "page", (F.col("home") == F.col("block")).alias("own"), F.split("text", between).alias("words"))
+    run, schema = sums_in_order(["replicate", "block"], "long", buckets)
+    sums = rows.mapInArrow(run, schema).drop("block")
+    found = similarity_of_sums(sums, ["replicate"])
+    return _every_bucket(found, found, ["replicate"], buckets).fillna(0)
+
+
+def contrast_of_sums(sums: DataFrame, by: list[str]) -> DataFrame:
+    """:func:`section_contrast` from the sums of its pairs."""
+    mean = lambda c: ratio(F.sum(f"{c}_sum"), F.sum(f"{c}_pairs")).alias(f"{c}_mean")
+    pairs = lambda c: F.sum(f"{c}_pairs").alias(f"{c}_pairs")
+    return _with_contrast(sums.groupBy(*by, "lo", "hi").agg(mean("same"), pairs("same"), mean("diff"), pairs("diff")))
+
+
+def similarity_of_sums(sums: DataFrame, by: list[str]) -> DataFrame:
+    """:func:`similarity_by_distance` from the sums of its pairs, whatever their sections."""
+    both = lambda c: F.sum(F.col(f"same_{c}") + F.col(f"diff_{c}"))
+    return sums.groupBy(*by, "lo", "hi").agg(ratio(both("sum"), both("pairs")).alias("mean"), both("pairs").alias("pairs"))
+
+
 def line_sets(lines: DataFrame, by: list[str] = CORPUS) -> DataFrame:
     """page, idx (of the line in the page), paragraph and types of every line.
 

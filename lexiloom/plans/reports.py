@@ -93,37 +93,39 @@ def _replicates(spark: SparkSession, family: str, params: dict, replicates: int,
     return spark.createDataFrame(rows, "family string, params string, replicate int, seed long")
 
 
-def _contrasts(made: DataFrame, lines: DataFrame, key: str) -> DataFrame:
-    """Section contrast of each replicate of each value of ``key``: key, replicate, lo, hi and the numbers."""
-    sections = lines.select("page", "section").distinct()
-    pages = structure.pages_of(staged(made, "replicates").join(sections, "page"), [key, "replicate"], ("section",))
-    return structure.section_contrast(staged(pages, "replicate-pages"), [key, "replicate"])
+def _contrasts(lines: DataFrame, key: str, runs: DataFrame) -> DataFrame:
+    """Section contrast of each replicate of each value of ``key``: key, replicate, lo, hi and the numbers.
+
+    Made words are compared page by page in the task that makes them; what leaves it is a row a bucket.
+    """
+    then, schema = structure.sums_in_order([key, "replicate"], lines.schema[key].dataType.simpleString())
+    sums = generators.generated_by(lines, key, runs, "section", then, schema)
+    return structure.contrast_of_sums(staged(sums, "replicate-sums"), [key, "replicate"])
 
 
 def null_replicates(spark: SparkSession, lines: DataFrame, key: str, params: dict, replicates: int = policy.NULL_REPLICATES, seed: int = policy.CHAMPION_SEED, family: str = "Structured self-citation") -> DataFrame:
     """Section contrast of ``replicates`` generated corpora in the layout of the lines of each value of ``key``."""
-    return _contrasts(generators.generated_by(lines, key, _replicates(spark, family, params, replicates, seed)), lines, key)
+    return _contrasts(lines, key, _replicates(spark, family, params, replicates, seed))
 
 
 def shuffled_replicates(spark: SparkSession, lines: DataFrame, key: str, replicates: int = policy.NULL_REPLICATES, seed: int = policy.SHUFFLED_SEED) -> DataFrame:
     """The same for the words of each value of ``key``, shuffled."""
-    return _contrasts(generators.generated_by(lines, key, _replicates(spark, generators.SHUFFLED, {}, replicates, seed)), lines, key)
+    return _contrasts(lines, key, _replicates(spark, generators.SHUFFLED, {}, replicates, seed))
 
 
-def stock_replicates(spark: SparkSession, lines: DataFrame, key: str, params: dict, replicates: int = policy.NULL_REPLICATES, seed: int = policy.CAMPAIGN_SEED, stride: int = 100, family: str = "Structured self-citation") -> DataFrame:
-    """Lines generated apart for each value of ``key``; seeds follow the replicate and the order of first appearance."""
+def stock_replicates(spark: SparkSession, lines: DataFrame, key: str, params: dict, replicates: int = policy.NULL_REPLICATES, seed: int = policy.CAMPAIGN_SEED, stride: int = 100, family: str = "Structured self-citation", **then) -> DataFrame:
+    """Lines generated apart for each value of ``key``, or what ``then`` makes of them; seeds follow the replicate and the order of first appearance."""
     first = Window.partitionBy(F.lit(0)).orderBy("p")  # a row a section or language
     groups = lines.filter(F.size("words") > 0).groupBy(key).agg(F.min("page").alias("p")).select(key, (F.row_number().over(first) - 1).alias("nth"))
     runs = _replicates(spark, family, params, replicates, seed).crossJoin(F.broadcast(groups))
     runs = runs.withColumn("seed", F.lit(seed).cast("long") + F.col("replicate") * stride + F.col("nth"))
-    return generators.generated_by(lines, key, runs.drop("nth"))
+    return generators.generated_by(lines, key, runs.drop("nth"), **then)
 
 
 def campaign_null(spark: SparkSession, lines: DataFrame, key: str, params: dict, **how) -> DataFrame:
     """Similarity by distance of each replicate of lines that were generated apart by ``key`` and stand in their pages again."""
-    made = staged(stock_replicates(spark, lines, key, params, **how), "campaign")
-    pages = staged(structure.pages_of(made, ["replicate"], ()), "campaign-pages")
-    return structure.similarity_by_distance(pages, ["replicate"])
+    then, schema = structure.page_texts(generators.BETWEEN)
+    return structure.similarity_of_texts(stock_replicates(spark, lines, key, params, then=then, schema=schema, **how), generators.BETWEEN)
 
 
 def campaign_order(lines: DataFrame, key: str) -> DataFrame:
