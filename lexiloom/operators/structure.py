@@ -215,23 +215,35 @@ def page_texts(between: str):
     return run, "replicate int, page long, text string"
 
 
-def similarity_of_texts(pages: DataFrame, between: str, buckets=policy.PAGE_BUCKETS) -> DataFrame:
-    """:func:`similarity_by_distance` of each replicate of ``pages`` (replicate, page, text), which may come in parts.
+def _sums_of_texts(pages: DataFrame, by: str, between: str, buckets) -> DataFrame:
+    """Sums of pairs of ``pages`` (by, page, text and perhaps section), which may come in parts.
 
     Pages meet in blocks; only those within reach of a block's end are sent to two.
     """
     reach, size = max(b for _, b in buckets), F.lit(PAGE_BLOCK)
+    some = [c for c in ("section",) if c in pages.columns]
     blocks = pages.filter("page IS NOT NULL").withColumn("home", F.floor(F.col("page") / size).cast("long"))
     near = F.pmod("page", size) < reach
     blocks = blocks.withColumn("block", F.explode(F.when(near, F.array("home", F.col("home") - 1)).otherwise(F.array("home"))))
-    blocks = blocks.repartition("replicate", "block").sortWithinPartitions("replicate", "block", "page")
-    rows = blocks.select("replicate", "block", "page", (F.col("home") == F.col("block")).alias("own"), F.split("text", between).alias("words"))
-    run, schema = sums_in_order(["replicate", "block"], "long", buckets)
-    sums = rows.mapInArrow(run, schema).drop("block")
-    found = similarity_of_sums(sums, ["replicate"])
+    blocks = blocks.repartition(by, "block").sortWithinPartitions(by, "block", "page")
+    rows = blocks.select(by, "block", "page", *some, (F.col("home") == F.col("block")).alias("own"), F.split("text", between).alias("words"))
+    run, schema = sums_in_order([by, "block"], pages.schema[by].dataType.simpleString(), buckets)
+    return rows.mapInArrow(run, schema.replace(f"block {pages.schema[by].dataType.simpleString()}", "block long")).drop("block")
+
+
+def similarity_of_texts(pages: DataFrame, between: str, buckets=policy.PAGE_BUCKETS) -> DataFrame:
+    """:func:`similarity_by_distance` of each replicate of ``pages`` (replicate, page, text), which may come in parts."""
+    found = similarity_of_sums(_sums_of_texts(pages, "replicate", between, buckets), ["replicate"])
     return _every_bucket(found, found, ["replicate"], buckets).fillna(0)
 
 
+def contrast_of_lines(lines: DataFrame, by: str, between: str, buckets=policy.PAGE_BUCKETS) -> DataFrame:
+    """:func:`section_contrast` of the pages of ``lines``, each word of which is moved once, as text."""
+    texts = lines.filter(F.size("words") > 0).select(by, "page", "section", F.array_join(F.array_distinct("words"), between).alias("text"))
+    found = contrast_of_sums(_sums_of_texts(texts, by, between, buckets), [by])
+    return _with_contrast(_every_bucket(found.drop("contrast"), found, [by], buckets))
+
+
 def contrast_of_sums(sums: DataFrame, by: list[str]) -> DataFrame:
     """:func:`section_contrast` from the sums of its pairs."""
     mean = lambda c: ratio(F.sum(f"{c}_sum"), F.sum(f"{c}_pairs")).alias(f"{c}_mean")

@@ -88,7 +88,7 @@ def campaign_similarity(spark, sf):
 def structure_verdicts(spark, sf):
     """Whether the contrast of sources exceeds that of shuffled words, by language and bucket."""
     lines = _lines(spark, sf)
-    real = structure.section_contrast(staged(structure.pages_of(lines, ["language"], ("section",)), "pages"), ["language"])
+    real = structure.contrast_of_lines(lines, "language", generators.BETWEEN)
     return rounded(structure.contrast_verdicts(real, reports.shuffled_replicates(spark, lines, "language"), by=("language",)))
 
 
