@@ -9,6 +9,7 @@ from lexiloom.functions import text as text_functions
 from lexiloom.functions.prng import draw
 from lexiloom.operators import controls, corpus, holdout, stats
 from lexiloom.plans.stat_queries import rounded
+from lexiloom.scratch import staged
 from lexiloom.sources import markup
 from lexiloom.sources.adapters import LINES_SQL, RELATIONS_SQL, document_lines, relations, table
 
@@ -222,7 +223,8 @@ def gibberish(spark, sf):
 
 
 def shuffled_words(spark, sf):
-    return controls.shuffled(stats.indexed(_english(spark, sf)).select("idx", "word"))
+    lines = staged(_english(spark, sf).select("corpus", "page", "line_no", "par_start", "words"), "english")
+    return controls.shuffled(stats.indexed(lines).select("idx", "word"), count=lines.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("n")))
 
 
 def layout(spark, sf):
