@@ -39,7 +39,7 @@ from pyspark.sql.types import IntegralType
 from lexiloom.llm import textkernel as tk
 from lexiloom.llm.components import components
 from lexiloom.llm.scratch import Scratch
-from lexiloom.llm.spread import left_join_grouped
+from lexiloom.llm.spread import having_ids, left_join_grouped
 
 WORDS = 5
 BANDS, ROWS = 32, 6
@@ -106,18 +106,21 @@ def _full_sets(batches):
 
 def confirmed(scratch: Scratch, sets: DataFrame, pairs: DataFrame, name: str, similar: int = SIMILAR) -> DataFrame:
     """Those of ``pairs`` (a, b) of which some two full ``sets`` (doc_id, shingles) are similar."""
-    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}"))
+    side = lambda c: having_ids(sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}")), pairs.select(c), c)
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     out = both.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("n"))
     return scratch.write(out.filter(F.col("i") * 100 >= (F.col("n") - F.col("i")) * similar).select("a", "b").distinct(), name)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text)."""
+def near_duplicates(spark: SparkSession, docs: DataFrame, similar: int = SIMILAR, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text).
+
+    What the result reads stays in ``scratch``, if one is given, until its owner drops it.
+    """
     if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
         raise TypeError("doc_id must be an integer column")
-    scratch = Scratch(spark, "minhash")
+    scratch = scratch or Scratch(spark, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = scratch.write(docs.mapInArrow(tk.lean(_sketch), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "sketch")
     same = ["n_shingles", "s1", "s2"]
@@ -139,7 +142,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similar: int = SIMILAR
 
     # Full sets are built once, for the documents that share a bucket with another text.
     # A doc_id that several texts bear has a set for each of them.
-    texts = docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"])
+    texts = having_ids(docs, members.select(F.col("node").alias("doc_id")), "doc_id").withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"])
     sets = scratch.write(texts.select("doc_id", "text").mapInArrow(tk.lean(_full_sets), "doc_id long, shingles array<long>"), "sets")
 
     # Rows of one doc_id but different texts are one node: their classes are linked through it.

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: A group is heavy from this many rows on, or from a thousandth of all rows if that is more.
 HEAVY_ROWS = 5_000
 HEAVY_SHARE = 1_000
+#: Ids of a block differ in their last BLOCK_BITS bits: 4 KB as a bitmap. So many blocks, 64 MB, are broadcast at most.
+BLOCK_BITS = 15
+MOST_BLOCKS = 1 << 14
 
 
 def heavy_threshold(total: int) -> int:
@@ -33,6 +36,23 @@ def left_join_grouped(rows: DataFrame, groups: DataFrame, keys: list[str], count
     return done.unionByName(rest.select(*done.columns))
 
 
+def having_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Those of ``rows`` whose integer ``key`` is among ``ids`` (a table with that column).
+
+    The ids are broadcast as bitmaps, one bit an id where ids are dense, so that wide
+    rows stay where they are; ids in more than MOST_BLOCKS blocks are joined by a
+    shuffle. ``ids`` should be cheap to read twice. Null is not among ids.
+    """
+    ids = ids.select(F.shiftright(key, BLOCK_BITS).alias("_block"), F.col(key).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1).cast("long")).alias("_at"), key)
+    if ids.select("_block").distinct().count() > MOST_BLOCKS:
+        return rows.join(ids.select(key), key, "left_semi")
+    maps = ids.filter("_block IS NOT NULL").groupBy("_block").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    found = rows.withColumn("_block", F.shiftright(key, BLOCK_BITS)).join(F.broadcast(maps), "_block")
+    at = F.col(key).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1).cast("long")).cast("int")
+    byte = F.conv(F.hex(F.substr("_bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return found.filter(F.getbit(byte, at.bitwiseAND(F.lit(7))) == 1).select(*rows.columns)
+
+
 def bucket_offsets(sums: DataFrame, group: list[str], bucket: str, value: str, out: str, fan: int = 1024) -> DataFrame:
     """Adds the sum of ``value`` over the earlier buckets of the group, in two levels of windows.
 

@@ -58,6 +58,20 @@ def test_rows_are_judged_by_themselves(spark):
     assert corpus_pipeline.quality_stage(spark, docs, SF).columns == docs.columns
 
 
+def test_the_stage_leaves_texts_in_their_files(spark, tmp_path):
+    """No copy of the texts is written, none is moved, and nothing of the groups stays on disk."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(5)
+    docs.unionByName(docs).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    out = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+    assert set(docs.inputFiles()) <= set(out.inputFiles())
+    assert not any("/minhash-" in f or f.endswith("/rows") for f in out.inputFiles())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    written = corpus_pipeline.near_duplicate_stage(spark, docs.filter("true OR doc_id > 0").repartition(3), SF)
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(r["doc_id"] for r in written.collect())
+
+
 def test_every_query_is_registered():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)] + ["pipeline"]
