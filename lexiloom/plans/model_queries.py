@@ -9,7 +9,7 @@ from lexiloom.operators import corpus, generators, inventories, stats, structure
 from lexiloom.plans import reports
 from lexiloom.plans.relation_queries import _draw_sql
 from lexiloom.plans.stat_queries import _sql, rounded
-from lexiloom.plans.structure_queries import _context, _vectors
+from lexiloom.plans.structure_queries import search_source
 from lexiloom.scratch import staged
 from lexiloom.sources.adapters import document_lines, relations, table
 
@@ -94,9 +94,7 @@ def structure_verdicts(spark, sf):
 
 def search_marginals(spark, sf):
     """The full grid of the abjad family by all replicates: marginals of one parameter."""
-    ctx, layout = _context(spark, sf)
-    reference = verify.vector(stats.signature(layout)).select("metric", "value")
-    found = staged(generators.search(spark, generators.plan(spark, ["Abjad"]), ctx, layout, reference, verify.scales(_vectors(spark, sf))), "found")
+    found = staged(search_source(spark, sf, generators.plan(spark, ["Abjad"])), "found")
     return rounded(reports.diagnostics(found, generators.Abjad.space, "keepInitialVowel", "rechunk")["by rechunk"])
 
 
