@@ -41,10 +41,10 @@ def having_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
     The ids are broadcast as bitmaps, one bit an id where ids are dense, so that wide
     rows stay where they are; ids in more than MOST_BLOCKS blocks are joined by a
-    shuffle. ``ids`` should be cheap to read twice. Null is not among ids.
+    shuffle. ``ids`` should be cheap to read twice; the blocks are counted approximately. Null is not among ids.
     """
     ids = ids.select(F.shiftright(key, BLOCK_BITS).alias("_block"), F.col(key).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1).cast("long")).alias("_at"), key)
-    if ids.select("_block").distinct().count() > MOST_BLOCKS:
+    if ids.agg(F.approx_count_distinct("_block")).first()[0] > MOST_BLOCKS:
         return rows.join(ids.select(key), key, "left_semi")
     maps = ids.filter("_block IS NOT NULL").groupBy("_block").agg(F.bitmap_construct_agg("_at").alias("_bits"))
     found = rows.withColumn("_block", F.shiftright(key, BLOCK_BITS)).join(F.broadcast(maps), "_block")
