@@ -89,7 +89,8 @@ def structure_verdicts(spark, sf):
     """Whether the contrast of sources exceeds that of shuffled words, by language and bucket."""
     lines = _lines(spark, sf)
     real = structure.contrast_of_lines(lines, "language", generators.BETWEEN)
-    return rounded(structure.contrast_verdicts(real, reports.shuffled_replicates(spark, lines, "language"), by=("language",)))
+    null = staged(reports.shuffled_replicates(spark, lines, "language"), "null")
+    return rounded(structure.contrast_verdicts(real, null, by=("language",)))
 
 
 def search_marginals(spark, sf):

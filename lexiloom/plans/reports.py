@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from lexiloom import policy
 from lexiloom.functions.prng import Stream, permutation
 from lexiloom.operators import controls, corpus, generators, stats, structure, verify
-from lexiloom.scratch import staged
 
 Tables = dict[str, DataFrame]
 
@@ -96,11 +95,11 @@ def _replicates(spark: SparkSession, family: str, params: dict, replicates: int,
 def _contrasts(lines: DataFrame, key: str, runs: DataFrame) -> DataFrame:
     """Section contrast of each replicate of each value of ``key``: key, replicate, lo, hi and the numbers.
 
-    Made words are compared page by page in the task that makes them; what leaves it is a row a bucket.
+    Made words are compared page by page in the task that makes them; what leaves it is a row a bucket,
+    by a shuffle: a task that holds a corpus writes no table, as each file may cost a process.
     """
     then, schema = structure.sums_in_order([key, "replicate"], lines.schema[key].dataType.simpleString())
-    sums = generators.generated_by(lines, key, runs, "section", then, schema)
-    return structure.contrast_of_sums(staged(sums, "replicate-sums"), [key, "replicate"])
+    return structure.contrast_of_sums(generators.generated_by(lines, key, runs, "section", then, schema), [key, "replicate"])
 
 
 def null_replicates(spark: SparkSession, lines: DataFrame, key: str, params: dict, replicates: int = policy.NULL_REPLICATES, seed: int = policy.CHAMPION_SEED, family: str = "Structured self-citation") -> DataFrame:
