@@ -76,8 +76,9 @@ def shuffled_contrast(spark, sf):
 
 def stock_lines(spark, sf):
     """Lines and words of all replicates of text generated apart for each language."""
-    made = reports.stock_replicates(spark, _lines(spark, sf), "language", _PARAMS)
-    return made.groupBy("replicate", "language").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.size("words")).cast("long").alias("words"))
+    then, schema = generators.counted("language", "string")
+    made = reports.stock_replicates(spark, _lines(spark, sf), "language", _PARAMS, then=then, schema=schema)
+    return made.groupBy("replicate", "language").agg(F.sum("lines").alias("lines"), F.sum("words").alias("words"))
 
 
 def campaign_similarity(spark, sf):
